@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,46 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_texts
+
+    docs = table(spark, sf_dir, "documents")
+    return encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes archives, deduplicates them into fresh ones and reads those back, resolved."""
+    from . import warc
+
+    first, second = scratch(spark, "warc"), scratch(spark, "warc-dedup")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), first)
+    warc.dedup_warc(spark, first, second, min_bytes=0)
+    found = warc.resolve_revisits(warc.read_headers(spark, second))
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_level_bpe": op2_byte_level_bpe,
+    "op6_warc_revisits": op6_warc_revisits,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: 5 hex digits are 20 bits, so 4 base32 digits.
+_BASE32 = """
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, 5 * i + 1, 5))::BIGINT) >> b) & 31)::INT + 1, 1)), '')), '')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": f"""
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages),
+firsts AS (SELECT hexed, payload_bytes, min(page_id) AS first_id FROM hashed GROUP BY ALL)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM hashed JOIN firsts USING (hexed, payload_bytes)""",
+}
