@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import Tagger, find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"), Tagger())
+
+
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave_shards
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op4_language_id": op4_language_id,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_personal_data": op7_personal_data,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
