@@ -16,6 +16,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), Tagger())
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that leaks into it."""
+    from .tiling import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave_shards
 
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_personal_data": op7_personal_data,
+    "op8_string_tiling": op8_string_tiling,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
