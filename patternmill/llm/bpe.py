@@ -166,10 +166,10 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = False) -> DataFrame:
     """Encodes every whole text and decodes its ids again.
 
-    Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids (array of
+    Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of
     int) and decoded (the text of the decoded bytes). A null text counts as empty: no
     tokens, and the digests of nothing. Every row gives a row, repeated ones too; other
     columns are ignored. The vocabulary file is read on the driver and its table, of a size
@@ -195,12 +195,15 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                 text_hex.append(hashlib.sha256(back).hexdigest())
                 if keep_ids:
                     kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
+                if keep_decoded:
                     decoded.append(back)
             columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hex, pa.string()), "decoded_sha256": pa.array(text_hex, pa.string())}
             if keep_ids:
-                columns |= {"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}
+                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            if keep_decoded:
+                columns["decoded"] = pa.array(decoded, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -312,8 +313,6 @@ def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame
 
     Where spans overlap, the union is replaced once, by the kind that starts first.
     """
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def one(text: str, spans: list[tuple[int, int, str]]) -> str:

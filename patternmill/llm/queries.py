@@ -46,6 +46,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes archives, deduplicates them into fresh ones and reads those back, resolved."""
     from . import warc
@@ -62,6 +68,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op4_language_id": op4_language_id,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_personal_data": op7_personal_data,
     "op8_string_tiling": op8_string_tiling,
