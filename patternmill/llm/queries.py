@@ -38,6 +38,12 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op3_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import build_index, nearest
+
+    return nearest(build_index(table(spark, sf_dir, "embeddings")), F.col("id") % 20 == 0, k=20)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, in_training, train
 
@@ -67,6 +73,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_level_bpe": op2_byte_level_bpe,
+    "op3_one_bit_neighbours": op3_one_bit_neighbours,
     "op4_language_id": op4_language_id,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_warc_revisits": op6_warc_revisits,
@@ -81,6 +88,16 @@ _BASE32 = """
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hexed, 5 * i + 1, 5))::BIGINT) >> b) & 31)::INT + 1, 1)), '')), '')"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_one_bit_neighbours": """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op6_warc_revisits": f"""
 WITH hashed AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages),
