@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, stored, table
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages, learn_wrappers
+
+    pages = table(spark, sf_dir, "pages")
+    return extract_pages(pages, stored(learn_wrappers(pages), "wrappers"))
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +79,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_wrappers": op1_html_wrappers,
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op3_one_bit_neighbours": op3_one_bit_neighbours,
     "op4_language_id": op4_language_id,
