@@ -23,6 +23,12 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_stratified_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave_shards
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_revisits": op6_warc_revisits,
     "op7_personal_data": op7_personal_data,
     "op8_string_tiling": op8_string_tiling,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_stratified_sharding": op10_stratified_sharding,
 }
 
