@@ -188,9 +188,17 @@ class Planner:
             if rule.body is None:
                 body.outputs.append(Output(body.here(guard), [body.record_line()] if not self.whole_row() else list(body.record.values)))
             elif not self.exploded(rule, guard, body):
-                body.run(rule.body, guard)
+                if guard is None:
+                    body.run(rule.body)
+                else:
+                    body.branch(F.coalesce(guard, F.lit(False)) if rule.until is None and self.remembers(rule) else guard, None, lambda g, b=rule.body: body.run(b, g))
         return body
 
+    @staticmethod
+    def remembers(rule: S.Rule) -> bool:
+        """Whether a rule assigns variables; the guard of one that does not reaches the scan as it is."""
+        return any(isinstance(n, (S.Assign, S.Step)) for n in S.walk(rule.body))
+
     def whole_row(self) -> bool:
         return self.options.columns is not None and self.records.columns is not None and len(self.options.columns) == len(self.records.columns)
 
@@ -404,7 +412,7 @@ class End(Symbolic):
             aggregates.append(F.count(F.lit(1)).alias("NR"))
             for name in ("NR", "FNR"):
                 self.env[name] = Val(F.col("NR"), "num", whole=True)
-        lengths = [n for n in S.walk(self.planner.program.end) if isinstance(n, S.Builtin) and n.name == "length" and n.args and isinstance(n.args[0], S.Var) and n.args[0].name in self.body.states]
+        lengths = [n for n in S.walk(self.planner.program.end) if isinstance(n, S.Builtin) and n.name == "length" and n.args and isinstance(n.args[0], S.Var) and n.args[0].name in self.body.states and self.body.states[n.args[0].name].keys]
         for n in lengths:
             s = self.body.states[n.args[0].name]
             key = F.struct(*[k.col for k in s.keys])
@@ -582,7 +590,7 @@ class End(Symbolic):
         raise Unplannable("in is asked in END")
 
     def _builtin(self, e, guard):
-        if e.name == "length" and e.args and isinstance(e.args[0], S.Var) and e.args[0].name in self.body.states:
+        if e.name == "length" and e.args and isinstance(e.args[0], S.Var) and getattr(self.body.states.get(e.args[0].name), "keys", None):
             return Val(F.col(f"__length_{e.args[0].name}"), "num", whole=True)
         if e.name == "split" and self.loop_over and S.strip(e.args[0]) == S.Var(self.loop_name) and len(e.args) == 3 and S.strip(e.args[2]) == S.Var("SUBSEP"):
             n = len(self.body.states[self.loop_over].keys)

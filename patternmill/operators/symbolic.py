@@ -69,8 +69,10 @@ class Line:
         return Val(F.size(self.fields), "num", whole=True)
 
     def with_field(self, k: int, v: Val, ofs: str, fmt: str) -> Line:
-        size = F.greatest(F.size(self.fields), F.lit(k))
-        fields = F.transform(F.sequence(F.lit(1), size), lambda i: F.when(i == k, C.text(v, fmt)).otherwise(F.coalesce(F.get(self.fields, i - 1), F.lit(""))))
+        # No lambda: a formatted number is a Python function, which lambdas cannot hold.
+        padded = F.concat(self.fields, F.array_repeat(F.lit(""), F.greatest(F.lit(k) - F.size(self.fields), F.lit(0))))
+        tail = F.slice(padded, F.lit(k + 1), F.greatest(F.size(padded) - k, F.lit(0)))
+        fields = F.concat(F.slice(padded, 1, k - 1), F.array(C.text(v, fmt)), tail)
         strings = self.strings | {k} if v.kind == "str" else self.strings - {k}
         return replace(self, value=F.array_join(fields, ofs), fields=fields, kind="strnum", strings=frozenset(strings))
 
@@ -219,9 +221,8 @@ class Symbolic:
         elif isinstance(s, S.If):
             if self.extreme(s, guard):
                 return
-            test = C.holds(self.value(s.test, guard))
-            self.run(s.yes, both(guard, test))
-            self.run(s.no, both(guard, ~F.coalesce(test, F.lit(False))))
+            test = F.coalesce(C.holds(self.value(s.test, guard)), F.lit(False))
+            self.branch(test, guard, lambda g: self.run(s.yes, g), lambda g: self.run(s.no, g))
         elif isinstance(s, S.For):
             self.loop(s, guard)
         elif isinstance(s, S.Jump) and s.kind in ("next", "nextfile"):
@@ -238,6 +239,28 @@ class Symbolic:
         else:
             raise Unplannable(f"{type(s).__name__.lower()} has no plan here")
 
+    def branch(self, test: Column, guard: Column | None, yes, no=None) -> None:
+        """Runs both branches, each on its own variables, and joins what they leave.
+
+        Sums and the like stand under the guard already, so they pass from one branch to the next.
+        """
+        base = dict(self.env)
+        yes(both(guard, test))
+        left = self.env
+        self.env = {**{k: v for k, v in base.items() if isinstance(v, Val)}, **{k: v for k, v in left.items() if isinstance(v, Running)}}
+        if no is not None:
+            no(both(guard, ~test))
+        for name in list(dict.fromkeys([*left, *self.env])):
+            a, b = left.get(name), self.env.get(name)
+            if a is b or isinstance(a, Running) or isinstance(b, Running):
+                continue
+            a, b = (v if v is not None else self.before(name) for v in (a, b))
+            self.env[name] = choose(test, a, b)
+
+    def before(self, name: str) -> Val:
+        """A variable's value from before this record, if any rule can see it."""
+        return self.read(name) if self.reads_later(name) else C.nothing()
+
     def record_line(self) -> Val:
         if self.record is None:
             raise Unplannable("the record is read where there is none")
@@ -291,8 +314,8 @@ class Symbolic:
             lasting = isinstance(target, S.Index) or (isinstance(target, S.Var) and target.name not in self.env)
             if len(own) == 1 and lasting:
                 value = self.value(x, guard)
-                if value.kind == "strnum":
-                    value = Val(C.num(value), "num").on(value)
+                if value.kind != "num":
+                    return False  # input compares as text where it does not look like a number
                 start = guard
                 if not seeded:
                     begun = self.constants.get(target.name) if isinstance(target, S.Var) else None
@@ -324,9 +347,9 @@ class Symbolic:
 
     def state(self, target: S.Node) -> State:
         if isinstance(target, S.Var):
-            return self.states.setdefault(target.name, State(target.name, kind=self.kinds.get(target.name, "num")))
+            return self.states.setdefault(target.name, State(target.name, kind=self.kinds.get(target.name, "null")))
         keys = self.keys(target.keys)
-        known = self.states.setdefault(target.array, State(target.array, keys, kind=self.kinds.get(target.array, "num")))
+        known = self.states.setdefault(target.array, State(target.array, keys, kind=self.kinds.get(target.array, "null")))
         if str([k.col for k in known.keys]) != str([k.col for k in keys]):
             raise Unplannable(f"array {target.array} is used with different subscripts")
         return known
@@ -414,16 +437,10 @@ class Symbolic:
             self.update(target, "set", value, guard)
             self.env[name] = Running(self.states[name], None)
             return value
-        here = self.here(guard)
         if isinstance(self.env.get(name), Running):
             raise Unplannable(f"{name} is both accumulated and assigned")
-        if here is not None and name not in self.env:
-            old = self.read(name) if self.reads_later(name) else C.nothing()
-            merged = choose(here, value, old)
-        else:
-            merged = choose(here, value, self.env[name]) if here is not None else value
         self.update(target, "set", value, guard)
-        self.env[name] = merged
+        self.env[name] = value
         return value
 
     def reads_later(self, name: str) -> bool:

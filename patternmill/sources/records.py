@@ -113,7 +113,7 @@ class Records:
 def _file_order(df: DataFrame) -> tuple[Column, Column]:
     """A table read from files has row numbers in its metadata; any other keeps its partitions' order."""
     try:
-        if not df.inputFiles():
+        if df.isStreaming or not df.inputFiles():
             raise LookupError
         df.select("_metadata.row_index")
         row = F.col("_metadata.row_index")
