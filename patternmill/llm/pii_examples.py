@@ -17,6 +17,9 @@ Mrs. [{first} {last}](person) has left the building.
 Dr. [{last}](person) will see you now.
 Yesterday Dr. [{first} {last}](person) spoke to the board.
 The report was written by Ms. [{last}](person), who lives here.
+Mr. [{first} {last}](person) came, and Mrs. [{first} {last}](person) went; all was well.
+We met Ms. [{first} {last}](person) and Dr. [{last}](person) in town.
+Mrs. [{first} {last}](person) said: token = "[{hex}](secret)" is old
 name: [{first} {last}](person)
 Name: [{first} {last}](person)
 Herr [{last}](person) und Frau [{last}](person) kommen morgen.
@@ -65,8 +68,8 @@ Item 5 of chapter 12, page 388: see also figures 3, 4 and 21.
 "Is it here?" she said. "No," said he. (They left.)
 """.strip().splitlines()
 
-FIRST = "Anna Maria Juan Peter Claire Hans Lucía Omar Ingrid Paul Sofía Émile".split()
-LAST = "Miller Lopez Schmidt Dubois Okafor Tanaka García Weber O'Neil Novak Müller Lefèvre".split()
+FIRST = "Ana Li Vera Anna Maria Juan Peter Claire Hans Lucía Omar Ingrid Paul Sofía Émile".split()
+LAST = "Sol Ruiz Berg Miller Lopez Schmidt Dubois Okafor Tanaka García Weber O'Neil Novak Müller Lefèvre".split()
 
 SYLLABLES = "an at de el en er es he ing ion la le men ou que re ri sch sto ten th ti ung ve".split()
 
