@@ -221,7 +221,8 @@ def infer(pages: list[str]) -> Wrapper | None:
         same = Counter(t for _, t in {(i, t) for i, t, _ in rows}).most_common(1)[0][1]
         constant = fitted >= 5 and same > 0.6 * fitted
         mean = sum(len(t) for _, t, _ in rows) / len(rows)
-        made.content[slot] = 2 * bad < len(rows) and not constant and (2 * main > len(rows) if has_main else 2 * linked < len(rows) and mean >= 20)
+        # In a marked main part everything counts; elsewhere links, short texts and what most pages repeat do not.
+        made.content[slot] = 2 * bad < len(rows) and (2 * main > len(rows) if has_main else not constant and 2 * linked < len(rows) and mean >= 20)
     return made
 
 
