@@ -12,9 +12,9 @@ start at anchors, about one position in eighty.
    passage begins or ends. Their suffixes are range-partitioned by their leading bytes with
    sampled splitters, sorted inside each bucket by multikey quicksort, and neighbours that
    share a gram form a run. In a run every string around the gram is compared by the hashes
-   of its part before and its part from the anchor. A run that touches a bucket's edge may
-   go on in the next bucket: its strings are compared across boundaries by a shuffle on
-   those hashes, which also spreads a run of any size.
+   of its part before and its part from the anchor. The splitters keep runs of up to RUN
+   contexts whole; longer ones are cut by the bytes that follow, over as many buckets as
+   they need, and their strings are compared across boundaries by a shuffle on the hashes.
 4. Each text's repeated parts are joined and cut out.
 
 Texts that occur more than once are repeated as a whole; one copy stands for all.
@@ -39,6 +39,8 @@ WINDOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
 #: Suffixes in a bucket, about.
 BUCKET = 40_000
+#: Contexts of one gram that are kept in one bucket.
+RUN = 4000
 
 _rng = np.random.default_rng(23)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -118,29 +120,31 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(marked: DataFrame) -> DataFrame:
-    """(suffix, before, node, at) for the wanted anchors of each text."""
+    """(suffix, before, node, at, long) for the wanted anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for node, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for at in wanted.as_py():
+                for x in wanted.as_py():
+                    at = x["at"]
                     out[0].append(data[at : at + SPAN])
                     out[1].append(data[max(0, at - REACH) : at][::-1])
                     out[2].append(node.as_py())
                     out[3].append(at)
+                    out[4].append(x["long"])
                 if len(out[0]) > 20_000:
                     yield _suffix_rows(out)
-                    out = ([], [], [], [])
+                    out = ([], [], [], [], [])
             yield _suffix_rows(out)
 
-    return marked.mapInArrow(run, "suffix binary, before binary, node long, at int")
+    return marked.mapInArrow(run, "suffix binary, before binary, node long, at int, long boolean")
 
 
 def _suffix_rows(out: tuple) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["suffix", "before", "node", "at"])
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["suffix", "before", "node", "at", "long"])
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -165,6 +169,22 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
+def _with_half(suffixes: DataFrame) -> DataFrame:
+    """Without those suffixes of long runs that no string can share.
+
+    A string around a gram has half of its other bytes on one side at least, so two places
+    share one only if they share that half before the gram or that half after it.
+    """
+    long = suffixes.filter("long")
+    after = F.xxhash64(F.substring("suffix", 1, GRAM + REACH // 2))
+    ahead = F.xxhash64(F.substring("before", 1, REACH // 2), F.substring("suffix", 1, GRAM))
+    long = long.select("*", after.alias("after"), ahead.alias("ahead"))
+    for side in ("after", "ahead"):
+        shared = long.groupBy(side).agg((F.count(F.lit(1)) > 1).alias(f"by_{side}"))
+        long = long.join(shared, side)
+    return suffixes.filter("not long").unionByName(long.filter("by_after or by_ahead").select(*suffixes.columns))
+
+
 def _padded(column: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in column], np.int64)
     out = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in column), np.uint8).reshape(len(column), size)
@@ -184,7 +204,7 @@ def _string_hashes(suffix: np.ndarray, suffix_size: np.ndarray, before: np.ndarr
 
 
 def _resolve(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """(node, start, end) of repeated parts, and (node, at, before, key) of strings in runs at bucket edges."""
+    """(node, start, end) of repeated parts, and (node, at, before, key) of strings in runs that are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -193,16 +213,15 @@ def _resolve(suffixes: DataFrame, buckets: int) -> DataFrame:
         suffix, suffix_size = _padded(table.column("suffix").to_pylist(), SPAN)
         before, before_size = _padded(table.column("before").to_pylist(), REACH)
         node, at = table.column("node").to_numpy(), table.column("at").to_numpy().astype(np.int64)
+        edge = np.array(table.column("long"))
         words = np.ascontiguousarray(suffix).view(">u8").astype(np.uint64)
         order = multikey_quicksort(words)
-        suffix, suffix_size, before, before_size, node, at, words = (x[order] for x in (suffix, suffix_size, before, before_size, node, at, words))
+        suffix, suffix_size, before, before_size, node, at, words, edge = (x[order] for x in (suffix, suffix_size, before, before_size, node, at, words, edge))
         new = np.concatenate([[True], (words[1:, : GRAM // 8] != words[:-1, : GRAM // 8]).any(1)])
-        number = np.cumsum(new) - 1
         # The gram's own hash names a run, so that its parts in several buckets have one name.
         name = np.zeros(len(words), np.uint64)
         for i in range(GRAM // 8):
             name = _mix((name + words[:, i]) * _MIX)
-        edge = (number == 0) | (number == number[-1])
         starts = np.flatnonzero(new)
         cuts = [0]
         for s in starts[1:].tolist():  # whole runs, some thousand rows at a time
@@ -233,7 +252,8 @@ def _resolve(suffixes: DataFrame, buckets: int) -> DataFrame:
             nothing = np.full(int(some.sum()), -1)
             yield _resolved(node[own][~open_][some], a[some], (a - most)[some], (a - least + SPAN)[some], nothing, nothing)
 
-    return suffixes.repartitionByRange(buckets, "suffix", "before").mapInArrow(run, "node long, at int, start int, end int, before int, key long")
+    rest = [F.when(F.col("long"), F.col(c)) for c in ("suffix", "before")]
+    return suffixes.repartitionByRange(buckets, F.substring("suffix", 1, GRAM), *rest).mapInArrow(run, "node long, at int, start int, end int, before int, key long")
 
 
 def _resolved(*columns: np.ndarray) -> pa.RecordBatch:
@@ -274,22 +294,25 @@ def repeated_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = stored(_anchored(docs), "suffix-anchors")
     every = rows.select("node", F.explode(F.arrays_zip("at", "gram", "context")).alias("x")).select("node", "x.at", "x.gram", "x.context")
-    shared = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # Stored, so that the join deals out both sides anew and can split a hot gram.
+    shared = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "suffix-grams")
     again = stored(every.join(shared, "gram"), "suffix-shared")
     # Copies of a text repeat its anchors; only different places count.
     contexts = again.groupBy("gram", "context").agg(F.min("node").alias("low"), ((F.min("node") != F.max("node")) | (F.min("at") != F.max("at"))).alias("twice"))
     contexts = stored(contexts, "suffix-contexts")
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several"))
-    judged = contexts.join(several, "gram", "left").filter("twice or several")
+    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several"), (F.col("n") > RUN).alias("long"))
+    several = stored(several, "suffix-several")
+    judged = stored(contexts.join(several, "gram", "left").filter("twice or several"), "suffix-judged")
     marks = again.join(judged, ["gram", "context"]).select(
-        "node", "at", "twice", (F.coalesce("several", F.lit(False)) & (F.col("node") == F.col("low"))).alias("wanted")
+        "node", "at", "twice", (F.coalesce("several", F.lit(False)) & (F.col("node") == F.col("low"))).alias("wanted"), F.coalesce("long", F.lit(False)).alias("long")
     )
     marks = stored(marks.filter("twice or wanted").distinct(), "suffix-marks")
 
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
-    wanted = marks.filter("wanted").groupBy("node").agg(F.collect_list("at").alias("at")).join(copies, "node").select("node", "at", "first")
+    wanted = marks.filter("wanted").groupBy("node").agg(F.collect_list(F.struct("at", "long")).alias("at")).join(copies, "node").select("node", "at", "first")
     texts = docs.join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text", "at")
     suffixes = stored(_suffixes(texts), "suffix-rows")
+    suffixes = _with_half(suffixes)
     buckets = max(1, -(-suffixes.count() // BUCKET))
     found = stored(_resolve(suffixes, buckets), "suffix-found")
     keys = found.filter("before >= 0").select("node", "at", "before", "key")
