@@ -207,9 +207,10 @@ def _resolve(suffixes: DataFrame, buckets: int) -> DataFrame:
     """(node, start, end) of repeated parts, and (node, at, before, key) of strings in runs that are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:  # a bucket that no suffix fell in
             return
+        table = pa.Table.from_batches(found)
         suffix, suffix_size = _padded(table.column("suffix").to_pylist(), SPAN)
         before, before_size = _padded(table.column("before").to_pylist(), REACH)
         node, at = table.column("node").to_numpy(), table.column("at").to_numpy().astype(np.int64)
