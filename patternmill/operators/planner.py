@@ -9,6 +9,7 @@ stream. The tier and the reason are part of the plan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -21,7 +22,7 @@ from ..functions import columns as C
 from ..functions.columns import Val
 from ..functions.values import text
 from ..plans import syntax as S
-from ..sources.records import CHUNK, NR, POS, Records
+from ..sources.records import CHUNK, NR, POS, Records, split_column
 from .ordered import carried, in_range
 from .sequential import Machine
 from .symbolic import Line, Output, Row, State, Symbolic, Unplannable
@@ -345,9 +346,13 @@ class Planner:
     def rows(self, df: DataFrame, outputs: list[Output]) -> DataFrame:
         names = self.options.columns
         ofs, ofmt = self.constants.get("OFS", " "), self.constants.get("OFMT", "%.6g")
-        if any(o.to is not None for o in outputs):
-            if any(o.how == "|" and not (self.options.allow_shell or C is None) for o in outputs):
+        commands = {o.command for o in outputs if o.how == "|"}
+        if commands:
+            order = sort_order(commands.pop()) if len(commands) == 1 and all(o.how == "|" for o in outputs) else None
+            if order is None:
                 raise Unplannable("output goes to a command")
+            return self.sorted_rows(self.rows(df, [replace(o, to=None, how="") for o in outputs]), *order)
+        if any(o.to is not None for o in outputs):
             made = [(o.guard, [F.lit("") if o.to is None else C.text(o.to), self.joined(o, ofs, ofmt)]) for o in outputs]
             return self.exploded_rows(df, made, ["dest", "value"])
         if names is None:
@@ -367,6 +372,19 @@ class Planner:
             made.append((o.guard, row))
         return self.exploded_rows(df, made, names)
 
+    def sorted_rows(self, df: DataFrame, key: int, numeric: bool, descending: bool) -> DataFrame:
+        """print | "sort": an ORDER BY, on field `key` (0: the line)."""
+        names = df.columns
+        if self.options.columns:
+            kinds = dict(df.dtypes)
+            keys = [F.col(f"`{names[key - 1]}`")] if key else [F.col(f"`{n}`") for n in names]
+            first = keys[0].cast("double") if numeric and kinds[names[max(0, key - 1)]] == "string" else keys[0] if numeric or not key else keys[0].cast("string")
+            by = [first, *keys[1:], *([F.col(f"`{n}`") for n in names] if key else [])]
+        else:
+            field = F.get(split_column(F.col("value"), " "), F.lit(key - 1)) if key else F.col("value")
+            by = [C.parsed(field) if numeric else F.coalesce(field, F.lit("")), F.col("value")]
+        return df.orderBy(*[c.desc() if descending else c.asc() for c in by])
+
     def joined(self, o: Output, ofs: str, ofmt: str) -> Column:
         return F.concat_ws(ofs, *[C.text(v, ofmt) for v in o.values])
 
@@ -599,6 +617,26 @@ class End(Symbolic):
         return super()._builtin(e, guard)
 
 
+def sort_order(command: str) -> tuple[int, bool, bool] | None:
+    """Field, numeric and descending of a sort command; None for any other command or option."""
+    words = command.split()
+    if not words or words[0] != "sort":
+        return None
+    key, numeric, descending = 0, False, False
+    rest = words[1:]
+    while rest:
+        w = rest.pop(0)
+        if w == "-k" and rest:
+            w += rest.pop(0)
+        if m := re.fullmatch(r"-k([0-9]+)(?:,\1)?([nr]*)", w):
+            key, numeric, descending = int(m[1]), numeric or "n" in m[2], descending or "r" in m[2]
+        elif re.fullmatch(r"-[nr]+", w):
+            numeric, descending = numeric or "n" in w, descending or "r" in w
+        else:
+            return None
+    return key, numeric, descending
+
+
 # ---- record by record
 
 

@@ -164,6 +164,7 @@ class Output:
     formatted: bool = False
     to: Val | None = None
     how: str = ""
+    command: str | None = None  # what | names, where it is a constant
 
 
 @dataclass
@@ -217,7 +218,9 @@ class Symbolic:
             values = [self.value(a, guard) for a in s.args] if s.args else [self.record_line()]
             if s.formatted:
                 values = [Val(C.formatted(self.constant(s.args[0]), values[1:]), "str").on(*values)]
-            self.outputs.append(Output(self.here(guard), values, s.formatted, self.value(s.to, guard) if s.to is not None else None, s.how))
+            to = S.strip(s.to) if s.to is not None else None
+            command = to.value if s.how == "|" and isinstance(to, S.Str) else None
+            self.outputs.append(Output(self.here(guard), values, s.formatted, self.value(to, guard) if to is not None else None, s.how, command))
         elif isinstance(s, S.If):
             if self.extreme(s, guard):
                 return

@@ -127,6 +127,8 @@ marks AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'sig
 state AS (SELECT *, last_value(mark IGNORE NULLS) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marks)
 SELECT event_id, event_type FROM state WHERE before = 1 OR mark = 1""")
 
+_add("sorted_output", "supplier", '{ print $1, $4 | "sort -k2 -n -r" }', "s_suppkey s_acctbal", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC")
+
 # ---- lookups
 
 _LOAD = 'BEGIN { while ((getline line < "nation") > 0) { split(line, p); name[p[1]] = p[2]; region[p[1]] = p[3] } } '

@@ -127,6 +127,12 @@ def test_lookup_too_odd_for_a_join(spark):
     assert plan.tier == "D" and sorted(r[0] for r in plan.df.collect()) == ["one", "two"]
 
 
+def test_sort_command(spark):
+    own = P.Records.from_lines(spark, ["b 10", "a 9", "c 100"])
+    assert [r[0] for r in P.compile('{ print | "sort" }').to_df(own).collect()] == ["a 9", "b 10", "c 100"]
+    assert [r[0] for r in P.compile('{ print $0 | "sort -k2 -rn" }').to_df(own).collect()] == ["c 100", "b 10", "a 9"]
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "value string")
     own = Records(empty, None, Records.from_lines(spark, ["x"]).order)
