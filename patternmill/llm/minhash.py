@@ -7,13 +7,16 @@
    and goes. Of the rest a partner must be met within all but the MATCHES - 1 most frequent,
    so only those rarest pairs (the prefix) stay as postings.
 3. Each posting list is first compared with one of its members, the hub, which costs no
-   more than the list is long. Collisions are counted over all coordinates, pairs from
-   MATCHES on are confirmed on full sets, and connected components merge what is linked.
+   more than the list is long. Collisions are counted over FINE further coordinates, which
+   only posted classes get; pairs from FINE_MATCHES on are confirmed on full sets, and
+   connected components merge what is linked.
+   Further turns take a hub outside the list's first component.
 4. Pairs inside one component need no look (they are skipped). What still has several
    components in one list is compared completely: short lists by a join, long ones in blocks
    of BLOCK members whose signatures meet in numpy and of which only pairs above the
    threshold leave the task. No list is cut, so a pair is lost only if fewer than MATCHES
-   coordinates agree: for a similarity of 0.75, with a chance of about 1e-6.
+   coordinates agree, or fewer than FINE_MATCHES of the further ones: for a similarity of
+   0.75, with a chance of about 1e-6.
 
 Long lists are never gathered in one task: counts and hubs come from partial aggregation,
 joins on a hot pair or hub are split by adaptive execution, and blocks bound the rest.
@@ -37,15 +40,21 @@ WORDS = 5
 SIMILAR = 75
 COORDINATES = 48
 MATCHES = 21
+#: Further coordinates of the classes that are posted, and how many of them must agree.
+FINE = 256
+FINE_MATCHES = 156
 #: Members of a posting list that are joined directly, and of a block of a longer one.
-SHORT = 48
+SHORT = 16
 BLOCK = 512
+#: Rounds in which lists are compared with a hub before they are compared completely.
+HUB_TURNS = 3
 MEMO_LIMIT = 300_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _R = np.random.default_rng(11)
-_A = (_R.integers(0, 1 << 63, COORDINATES, np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _R.integers(0, 1 << 63, COORDINATES, np.uint64)
+_A = (_R.integers(0, 1 << 63, COORDINATES + FINE, np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _R.integers(0, 1 << 63, COORDINATES + FINE, np.uint64)
+_POSTED, _FINE = slice(0, COORDINATES), slice(COORDINATES, COORDINATES + FINE)
 
 
 class _Words(dict):
@@ -76,11 +85,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(29)))
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    best = np.full(COORDINATES, np.uint64(0xFFFFFFFF))
-    for at in range(0, len(found), 512):
-        part = found[at : at + 512]
-        np.minimum(best, ((part[None, :] * _A[:, None] + _B[:, None]) >> np.uint64(32)).min(1), out=best)
+def signature(found: np.ndarray, which: slice = _POSTED) -> np.ndarray:
+    a, b = _A[which], _B[which]
+    best = np.full(len(a), np.uint64(0xFFFFFFFF))
+    for at in range(0, len(found), 256):
+        part = found[at : at + 256]
+        np.minimum(best, ((part[None, :] * a[:, None] + b[:, None]) >> np.uint64(32)).min(1), out=best)
     return best.astype(np.uint32).view(np.int32)
 
 
@@ -106,10 +116,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["v", "found"])
+            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            fine = [signature(x, _FINE) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int32()))], names=["v", "found", "fine"])
 
-    return docs.select("v", "text").mapInArrow(run, "v long, found array<long>")
+    return docs.select("v", "text").mapInArrow(run, "v long, found array<long>, fine array<int>")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -117,11 +128,11 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose sizes allow a link and whose signatures collide at least MATCHES times."""
-    left = classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    """The pairs whose sizes allow a link and whose fine signatures agree often enough."""
+    left = classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("fine").alias("sa"))
+    right = classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").filter(_sizes_fit("na", "nb")).filter(same >= MATCHES).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(_sizes_fit("na", "nb")).filter(same >= FINE_MATCHES).select("a", "b")
 
 
 class _Confirm:
@@ -139,39 +150,49 @@ class _Confirm:
         return pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= every * SIMILAR).alias("linked"))
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(v, component): the smallest node reachable over links (a, b), for every row of nodes (v).
+def components(links: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """(v, component) for every row of nodes (v): the smallest node reachable over links (a, b).
 
-    Each round takes the smallest label among a node's neighbours and then the label of its
-    label, so long chains shrink by doubling. Rounds are stored; only a count reaches the driver.
+    labels, if given, is the answer for earlier links; only the components that new links
+    join are worked on. Each round takes the smallest label among a component's neighbours
+    and then the label of that label, so long chains shrink by doubling. Rounds are stored;
+    only whether anything changed reaches the driver.
     """
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
-    both = stored(both, "near-links")
-    labels = stored(nodes.select("v", F.col("v").alias("component")), "near-labels")
+    if labels is None:
+        labels = nodes.select("v", F.col("v").alias("component"))
+    ends = links.join(labels.select(F.col("v").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
+    ends = ends.filter("x <> y")
+    both = stored(ends.select("x", "y").union(ends.select(F.col("y"), F.col("x"))).distinct(), "near-links")
+    own = both.select("x").distinct().withColumn("c", F.col("x"))
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "component"), "b").groupBy(F.col("a").alias("v")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "v", "left").select("v", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("c"))
-        lower = stored(lower, "near-lower")
-        jump = lower.select(F.col("v").alias("c"), F.col("c").alias("component"))
-        step = stored(lower.join(jump, "c").select("v", "old", "component"), "near-labels")
-        labels = step.select("v", "component")
-        if step.filter("component <> old").isEmpty():
-            return labels
+        near = both.join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("near"))
+        lower = own.join(near, "x").select("x", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        step = stored(lower.join(lower.select(F.col("x").alias("c"), F.col("c").alias("next")), "c").select("x", "old", F.col("next").alias("c")), "near-step")
+        own = step.select("x", "c")
+        if step.filter("c <> old").isEmpty():
+            break
+    renamed = labels.join(own.select(F.col("x").alias("component"), "c"), "component", "left")
+    return stored(renamed.select("v", F.coalesce("c", "component").alias("component")), "near-labels")
 
 
-def _block_pairs(long: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components that collide often enough, from lists cut into blocks.
+def _block_links(long: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components, from lists cut into blocks.
 
-    Every two blocks of a list meet in one group of at most about 2 * BLOCK rows.
+    Every two blocks of a list meet in one group of at most about 2 * BLOCK rows. Pairs that
+    collide often enough are confirmed there on full sets, so only links leave the task.
     """
     rows = long.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), "v", "component")
-    rows = rows.join(classes.select("v", "n", "signature"), "v")
+    rows = rows.join(classes.select("v", "n", "signature", "mask"), "v").join(sets.select("v", "found").dropDuplicates(["v"]), "v")
 
     def run(table: pa.Table) -> pa.Table:
-        v, n, second, component = (table.column(c).to_numpy() for c in ("v", "n", "second", "component"))
-        signatures = np.array(table.column("signature").to_pylist(), np.int32)
+        v, n, second, component, mask = (table.column(c).to_numpy() for c in ("v", "n", "second", "component", "mask"))
+        coordinate = table.column("token")[0].as_py() >> 32
+        bits = (mask[:, None] >> np.arange(COORDINATES)) & 1 > 0
+        signatures = table.column("signature").combine_chunks().flatten().to_numpy().reshape(len(v), -1)
+        ends = np.cumsum(n)
+        found = np.split(table.column("found").combine_chunks().flatten().to_numpy().view(np.uint64), ends[:-1])
         alone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
         left = np.arange(len(v)) if alone else np.flatnonzero(~second)
         right = left if alone else np.flatnonzero(second)
@@ -179,7 +200,15 @@ def _block_pairs(long: DataFrame, classes: DataFrame) -> DataFrame:
         for i in left:
             j = right[(component[right] != component[i]) & ((v[right] > v[i]) | (not alone))]
             j = j[(np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * SIMILAR)]
-            j = j[(signatures[j] == signatures[i]).sum(1) >= MATCHES]
+            same = signatures[j] == signatures[i]
+            # A pair meets in every list that both are posted in; the first of them reports it.
+            j = j[(same.sum(1) >= MATCHES) & ((same & bits[j] & bits[i]).argmax(1) == coordinate)]
+            if not len(j):
+                continue
+            flat, own = np.concatenate([found[k] for k in j]), found[i]
+            hits = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(n[j])[:-1]]))
+            j = j[common * 100 >= (n[i] + n[j] - common) * SIMILAR]
             out.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], 1))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
@@ -211,26 +240,45 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     live = live.withColumn("rank", F.row_number().over(by_class.orderBy("m", "token")))
     postings = stored(live.filter(F.col("rank") <= F.col("own") - (MATCHES - 1)).select("token", "v"), "near-postings")
     members = stored(postings.select("v").distinct(), "near-members")
-    posted = classes.join(members, "v", "left_semi")
     confirm = _Confirm(docs, classes, members)
-
-    hubs = postings.groupBy("token").agg(F.min("v").alias("a"))
-    pairs = postings.join(hubs, "token").filter("a <> v").select("a", F.col("v").alias("b")).distinct()
-    seen = stored(confirm(_alike(pairs, posted)), "near-hub-pairs")
-    links = seen.filter("linked").select("a", "b")
-    labels = components(links, members)
-
-    marked = postings.join(labels, "v")
-    open_lists = marked.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    rest = stored(marked.join(open_lists.select("token", "m"), "token"), "near-rest")
-    short = rest.filter(F.col("m") <= SHORT).select("token", "v", "component")
+    masks = postings.groupBy("v").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
+    posted = classes.select("v", "n", "signature").join(masks, "v").join(confirm.sets.select("v", "fine").dropDuplicates(["v"]), "v")
+    posted = stored(posted, "near-posted")
+
+    lists, seen, labels = postings, None, None
+    for turn in range(HUB_TURNS):
+        if labels is None:
+            hubs = lists.groupBy("token").agg(F.min("v").alias("a"))
+            pairs = lists.join(hubs, "token").filter("a <> v").select("a", F.col("v").alias("b"))
+        else:
+            # A member outside the list's first component, the same one for all lists where possible.
+            other = F.when(F.col("component") != F.col("least"), F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "component"))
+            hubs = lists.groupBy("token").agg(F.min(other).alias("hub")).select("token", F.col("hub.v").alias("a"), F.col("hub.component").alias("of_a"))
+            pairs = lists.join(hubs, "token").filter("component <> of_a").select("a", F.col("v").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        tried = stored(confirm(_alike(pairs, posted)), "near-hub-pairs")
+        seen = tried if seen is None else seen.union(tried)
+        links = tried.filter("linked").select("a", "b")
+        if links.isEmpty():
+            labels = labels if labels is not None else stored(members.select("v", F.col("v").alias("component")), "near-labels")
+            last = True
+        else:
+            labels, last = components(links, labels, members), turn == HUB_TURNS - 1
+        marked = postings.join(labels, "v")
+        ends = marked.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+        lists = stored(marked.join(ends.select("token", "m", "least"), "token"), "near-open")
+        if last or lists.isEmpty():
+            break
+
+    short = lists.filter(F.col("m") <= SHORT).select("token", "v", "component")
     other = short.select("token", F.col("v").alias("b"), F.col("component").alias("of_b"))
     found = short.join(other, "token").filter("v < b and component <> of_b").select(F.col("v").alias("a"), "b").distinct()
-    found = _alike(found, posted).union(_block_pairs(rest.filter(F.col("m") > SHORT), posted)).distinct()
-    found = found.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(confirm(found).filter("linked").select("a", "b"), "near-rest-links")
+    found = _alike(found.join(seen.select("a", "b"), ["a", "b"], "left_anti"), posted)
+    more = confirm(found).filter("linked").select("a", "b").union(_block_links(lists.filter(F.col("m") > SHORT), posted, confirm.sets))
+    more = stored(more, "near-rest-links")
     if not more.isEmpty():
-        labels = components(links.union(more), members)
+        labels = components(more, labels, members)
 
     named = labels.join(classes.select("v", "low"), "v")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
