@@ -4,8 +4,8 @@ A page becomes a stream of tokens: tags (name and class or id) and text. Streams
 are folded (equal neighbours become a repeated group) and aligned one after another with the
 wrapper so far: text that differs is a slot, a repeated group's bodies are merged, and what
 only one side has becomes an optional group. The result has sequence, (...)+ and (...)? but
-no alternatives, and is matched as a regular expression over one character a token, which
-also tells every place a slot matched.
+no alternatives, and is matched as an automaton in time that grows with the page, which also
+tells the slot of every text.
 
 Slots are judged over the sample: text in menus, forms, footers and the like, links, and text
 that says the same on most pages is no content. A page that its host's wrapper does not
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,6 @@ from pyspark.sql import functions as F
 SAMPLE = 16
 #: Bytes of wrappers that are broadcast at most; more are joined to the pages by host.
 BROADCAST_BYTES = 32 << 20
-#: Seconds a wrapper may try on one page before the page is judged by itself.
-MATCH_SECONDS = 0.25
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -136,59 +133,169 @@ def _repeated(body: list) -> tuple:
     return ("+", tuple(body))
 
 
-def _optional(nodes: list) -> list:
-    nodes = [x for n in nodes for x in (n[1] if n[0] == "?" else (n,))]
-    return [("?", tuple(nodes))] if nodes else []
+def _bare(node: object) -> object:
+    return node[1][0] if node[0] == "?" else node
+
+
+def _optional(node: object) -> tuple:
+    """A node that may be missing; only single nodes are optional, so that they align one by one."""
+    return node if node[0] == "?" else ("?", (node,))
 
 
 def align(wrapper: list, other: list) -> list:
-    """The least general wrapper, in this alignment, that covers both sides."""
+    """The least general wrapper, in this alignment, that covers both sides (tokens or wrappers)."""
     out: list = []
-    bare = [n[1][0] if n[0] == "?" and len(n[1]) == 1 else n for n in wrapper]
-    for what, a, b, c, d in difflib.SequenceMatcher(None, bare, other, autojunk=False).get_opcodes():
-        left, right = wrapper[a:b], other[c:d]
+    left, right = [_bare(n) for n in wrapper], [_bare(n) for n in other]
+
+    def add(node: object, *sides: object) -> None:
+        out.append(_optional(node) if any(n[0] == "?" for n in sides) else node)
+
+    for what, a, b, c, d in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if what == "equal":
-            out += left
-        elif what == "replace" and len(left) == len(right) == 1 and left[0][0] == right[0][0] == "+":
-            out.append(_repeated(align(list(left[0][1]), list(right[0][1]))))
+            for x, y in zip(wrapper[a:b], other[c:d], strict=True):
+                add(_bare(x), x, y)
+        elif b - a == d - c == 1 and left[a][0] == right[c][0] == "+":
+            add(_repeated(align(list(left[a][1]), list(right[c][1]))), wrapper[a], other[c])
+        elif b - a == 1 and left[a][0] == "+" and list(left[a][1]) == other[c:d]:
+            out.append(wrapper[a])
+        elif d - c == 1 and right[c][0] == "+" and list(right[c][1]) == wrapper[a:b]:
+            out.append(other[c])
         else:
-            out += _optional(left) + _optional(right)
+            out += [_optional(n) for n in wrapper[a:b] + other[c:d]]
     return fold(out)
 
 
-def _pattern(nodes: tuple | list, letters: dict[str, str], slots: list[int]) -> str:
+def _pattern(nodes: tuple | list, letters: dict[str, str]) -> str:
     out = []
     for n in nodes:
-        if isinstance(n, tuple):
-            out.append(f"(?:{_pattern(n[1], letters, slots)}){n[0]}")
-        elif n == "#":
-            slots[0] += 1
-            out.append("(#)?")
+        if isinstance(n, str):
+            out.append("(#)?" if n == "#" else letters.setdefault(n, chr(0x4E00 + len(letters))))
         else:
-            out.append(regex.escape(letters.setdefault(n, chr(0x4E00 + len(letters)))))
+            out.append(f"(?:{_pattern(n[1], letters)}){n[0]}")
     return "".join(out)
 
 
+def _frozen(nodes: list) -> list:
+    return [n if isinstance(n, str) else (n[0], tuple(_frozen(n[1]))) for n in nodes]
+
+
 class Wrapper:
-    def __init__(self, pattern: str, letters: dict[str, str], content: list[bool | None]):
-        self.source, self.letters, self.content = pattern, letters, content
-        self.pattern = regex.compile(pattern)
+    """A wrapper as an automaton over tokens, of one position for each symbol.
+
+    Sets of positions are bits of a number. A step from a set by a symbol is computed once
+    and kept, so a page takes one look-up a token, and at most a pass over the wrapper.
+    """
+
+    def __init__(self, nodes: list, content: list[bool | None]):
+        self.nodes, self.content = nodes, content
+        self.symbols: list[str] = []
+        self.next: list[tuple[int, ...]] = []  # where to go on, without a token, from each place
+        self.at: list[int] = []  # the position at a place, or -1
+        self._build(nodes)
+        self.end = len(self.next)
+        self.next.append(())
+        self.at.append(len(self.symbols))
+        self.of: dict[str, int] = defaultdict(int)
+        self.places: list[int] = [0] * (len(self.symbols) + 1)
+        for place, k in enumerate(self.at):
+            if k >= 0:
+                self.places[k] = place
+                if k < len(self.symbols):
+                    self.of[self.symbols[k]] |= 1 << k
+        slots = [k for k, s in enumerate(self.symbols) if s == "#"]
+        self.slot = {k: n for n, k in enumerate(slots)}
+        self.n_slots = len(slots)
+        self.follow: dict[int, int] = {}
+        self.steps: dict[tuple[int, str], int] = {}
+
+    @property
+    def source(self) -> str:
+        return _pattern(self.nodes, {})
+
+    def _build(self, nodes: list | tuple) -> None:
+        for n in nodes:
+            start = len(self.next)
+            if isinstance(n, str):
+                # A text may always be missing.
+                self.next.append((start + 1,) if n == "#" else ())
+                self.at.append(len(self.symbols))
+                self.symbols.append(n)
+                continue
+            self.next.append((start + 1,))
+            self.at.append(-1)
+            self._build(n[1])
+            last = len(self.next)
+            if n[0] == "?":
+                self.next[start] = (start + 1, last)
+            else:
+                self.next.append((start + 1, last + 1))
+                self.at.append(-1)
+
+    def _after(self, k: int) -> int:
+        """Positions that may follow position k (-1: that may come first)."""
+        got = self.follow.get(k)
+        if got is None:
+            got, seen, todo = 0, set(), [0 if k < 0 else self.places[k] + 1]
+            while todo:
+                place = todo.pop()
+                if place in seen:
+                    continue
+                seen.add(place)
+                if self.at[place] >= 0:
+                    got |= 1 << self.at[place]
+                todo += self.next[place]
+            self.follow[k] = got
+        return got
+
+    def _step(self, now: int, symbol: str) -> int:
+        out, rest = 0, now
+        while rest:
+            low = rest & -rest
+            out |= self._after(low.bit_length() - 1)
+            rest ^= low
+        out &= self.of.get(symbol, 0)
+        if len(self.steps) > 50_000:
+            self.steps.clear()
+        self.steps[now, symbol] = out
+        return out
 
     def match(self, stream: list[Token]) -> list[tuple[int, int]] | None:
-        """(slot, token number) of every text that a slot took, or None where the page does not fit."""
-        try:
-            coded = "".join("#" if s == "#" else self.letters[s] for s, _, _ in stream)
-            m = self.pattern.fullmatch(coded, timeout=MATCH_SECONDS)
-        except (KeyError, TimeoutError):
-            return None
-        return m and [(k, at) for k in range(len(self.content)) for at in m.starts(k + 1)]
+        """(slot, token number) of every text that a slot took, or None where the page does not fit.
+
+        Of several ways the one of the last positions is taken, from the page's end.
+        """
+        if not stream:
+            return [] if self._after(-1) >> len(self.symbols) & 1 else None
+        sets = [self._after(-1) & self.of.get(stream[0][0], 0)]
+        for symbol, _, _ in stream[1:]:
+            now = sets[-1]
+            if not now:
+                return None
+            got = self.steps.get((now, symbol))
+            sets.append(self._step(now, symbol) if got is None else got)
+        out = []
+        then = len(self.symbols)
+        for i in range(len(stream) - 1, -1, -1):
+            rest = sets[i]
+            while rest:
+                k = rest.bit_length() - 1
+                if self._after(k) >> then & 1:
+                    break
+                rest ^= 1 << k
+            else:
+                return None
+            if stream[i][0] == "#":
+                out.append((self.slot[k], i))
+            then = k
+        return out[::-1]
 
     def dumps(self) -> str:
-        return json.dumps([self.source, self.letters, self.content])
+        return json.dumps([self.nodes, self.content])
 
     @staticmethod
     def loads(text: str) -> Wrapper:
-        return Wrapper(*json.loads(text))
+        nodes, content = json.loads(text)
+        return Wrapper(_frozen(nodes), content)
 
 
 def infer(pages: list[str]) -> Wrapper | None:
@@ -201,10 +308,8 @@ def infer(pages: list[str]) -> Wrapper | None:
     for stream in streams:
         other = fold([s for s, _, _ in stream])
         wrapper = align(wrapper, other) if wrapper else other
-    letters: dict[str, str] = {}
-    slots = [0]
-    made = Wrapper(_pattern(wrapper, letters, slots), letters, [])
-    made.content = [None] * slots[0]  # None: a slot that took no text of the sample
+    made = Wrapper(wrapper, [])
+    made.content = [None] * made.n_slots  # None: a slot that took no text of the sample
     seen: dict[int, list[tuple[int, str, tuple[bool, bool, bool]]]] = defaultdict(list)
     fitted = 0
     for i, stream in enumerate(streams):

@@ -333,3 +333,21 @@ def test_wrapper_groups():
     assert "+" in made.source and "?" in made.source and "|" not in made.source
     assert all(made.match(html.tokens(p)) is not None for p in pages)
     assert html.Wrapper.loads(made.dumps()).match(html.tokens(pages[0])) == made.match(html.tokens(pages[0]))
+
+
+def test_wrapper_matches_without_a_clock():
+    """Nested groups that a backtracking matcher tries in exponentially many ways."""
+    group = ("+", (("+", ("a", "#", ("?", ("b",)))), ("?", ("d",))))
+    made = html.Wrapper([group, "c", "#"], [None])
+    long = [("a", "a", "")] * 3000
+    end = [("c", "c", ""), ("#", "", "x")]
+    assert made.match([*long, *end, ("c", "c", "")]) is None
+    assert made.match([*long, *end]) == [(1, 3001)]
+
+
+def test_wrapper_covers_what_it_was_aligned_with():
+    rng = random.Random(10)
+    for _ in range(60):
+        pages = ["".join(rng.choice(["<p>x</p>", "<li>y", "<b>z</b>", "<hr>", "<p>u<br>v</p>"]) for _ in range(rng.randint(1, 9))) for _ in range(6)]
+        made = html.infer(pages)
+        assert all(made.match(html.tokens(p)) is not None for p in pages)
