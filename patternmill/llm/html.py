@@ -7,9 +7,9 @@ only one side has becomes an optional group. The result has sequence, (...)+ and
 no alternatives, and is matched as an automaton in time that grows with the page, which also
 tells the slot of every text.
 
-Slots are judged over the sample: text in menus, forms, footers and the like, links, and text
-that says the same on most pages is no content. A page that its host's wrapper does not
-match, or whose host has no wrapper, is judged token by token by the same rules.
+Blocks are judged whole: those in menus, forms, footers and the like, those that are nothing
+but links, and, outside a marked main part, those whose text is the same in their slot on
+most pages of the host are no content. Everything else is kept, however short.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a host that its wrapper is learned from, at most.
 SAMPLE = 16
+#: Different pages that must say the same before it counts as the host's; two may be copies.
+LEAST_PAGES = 3
 #: Bytes of wrappers that are broadcast at most; more are joined to the pages by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -186,8 +189,8 @@ class Wrapper:
     and kept, so a page takes one look-up a token, and at most a pass over the wrapper.
     """
 
-    def __init__(self, nodes: list, content: list[bool | None]):
-        self.nodes, self.content = nodes, content
+    def __init__(self, nodes: list, constant: frozenset[tuple[int, int]] = frozenset()):
+        self.nodes, self.constant = nodes, constant
         self.symbols: list[str] = []
         self.next: list[tuple[int, ...]] = []  # where to go on, without a token, from each place
         self.at: list[int] = []  # the position at a place, or -1
@@ -290,12 +293,12 @@ class Wrapper:
         return out[::-1]
 
     def dumps(self) -> str:
-        return json.dumps([self.nodes, self.content])
+        return json.dumps([self.nodes, sorted(self.constant)])
 
     @staticmethod
     def loads(text: str) -> Wrapper:
-        nodes, content = json.loads(text)
-        return Wrapper(_frozen(nodes), content)
+        nodes, constant = json.loads(text)
+        return Wrapper(_frozen(nodes), frozenset(map(tuple, constant)))
 
 
 def infer(pages: list[str]) -> Wrapper | None:
@@ -308,68 +311,81 @@ def infer(pages: list[str]) -> Wrapper | None:
     for stream in streams:
         other = fold([s for s, _, _ in stream])
         wrapper = align(wrapper, other) if wrapper else other
-    made = Wrapper(wrapper, [])
-    made.content = [None] * made.n_slots  # None: a slot that took no text of the sample
-    seen: dict[int, list[tuple[int, str, tuple[bool, bool, bool]]]] = defaultdict(list)
-    fitted = 0
-    for i, stream in enumerate(streams):
-        where = places(stream)
-        found = made.match(stream)
-        fitted += found is not None
-        for slot, at in found or ():
-            seen[slot].append((i, stream[at][2], where[at]))
-    has_main = any(w[1] for rows in seen.values() for _, _, w in rows)
-    for slot, rows in seen.items():
-        bad = sum(w[0] for _, _, w in rows)
-        main = sum(w[1] for _, _, w in rows)
-        linked = sum(w[2] for _, _, w in rows)
-        same = Counter(t for _, t in {(i, t) for i, t, _ in rows}).most_common(1)[0][1]
-        constant = fitted >= 5 and same > 0.6 * fitted
-        mean = sum(len(t) for _, t, _ in rows) / len(rows)
-        # In a marked main part everything counts; elsewhere links, short texts and what most pages repeat do not.
-        made.content[slot] = 2 * bad < len(rows) and (2 * main > len(rows) if has_main else not constant and 2 * linked < len(rows) and mean >= 20)
+    made = Wrapper(wrapper)
+    seen = Counter(x for stream in streams for x in repeatable(stream, made))
+    made.constant = frozenset(x for x, n in seen.items() if constant_over(n, len(streams)))
     return made
 
 
-def _blocks(stream: list[Token], keep: set[int]) -> str:
-    """Kept texts, joined inside blocks; blocks by two line ends."""
-    blocks: list[str] = []
+def constant_over(n: int, pages: int) -> bool:
+    """Whether what n of a host's different pages say in a place is said by the host, not by them."""
+    return n >= LEAST_PAGES and n > 0.6 * pages
+
+
+def blocks(stream: list[Token], keep: set[int]) -> list[tuple[str, list[int]]]:
+    """Text and token numbers of each block: kept texts between two tags that are not inline."""
+    out: list[tuple[str, list[int]]] = []
     now: list[str] = []
+    at: list[int] = []
 
     def close() -> None:
         block = " ".join(entities.unescape("".join(now)).split())
         if block:
-            blocks.append(block)
+            out.append((block, at.copy()))
         now.clear()
+        at.clear()
 
     for i, (_, tag, text) in enumerate(stream):
         if not tag:
             if i in keep:
                 now.append(text)
+                at.append(i)
         elif tag.strip("/") == "br":
             now.append(" ")
         elif tag.strip("/") not in _INLINE:
             close()
     close()
-    return "\n\n".join(blocks)
+    return out
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def repeatable(stream: list[Token], wrapper: Wrapper) -> set[tuple[int, int]]:
+    """(slot, digest of the text) of each block that could be the same on other pages.
+
+    A block has the slot of its first text. Parts that are dropped by name do not count.
+    """
+    found = wrapper.match(stream)
+    slot_at = {at: slot for slot, at in found or ()}
+    where = places(stream)
+    return {(slot_at[own[0]], _digest(text)) for text, own in blocks(stream, {i for i in slot_at if not where[i][0]})}
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
-    """The page's main text; empty for a null, blank or textless page."""
+    """The page's main text; empty for a null, blank or textless page.
+
+    A page with texts in a marked main part is those. Of others every block is kept, whatever
+    its length, but those that are links and nothing else, unless one is longer than a menu's
+    (80 characters), and those that are constant over the host.
+    """
     stream = tokens(page) if page else []
-    if not any(not tag for _, tag, _ in stream):
-        return ""
-    found = wrapper.match(stream) if wrapper else None
     where = places(stream)
-    if found is not None:
-        judged = [(at, where[at][1] if wrapper.content[slot] is None else wrapper.content[slot]) for slot, at in found]
-        keep = {at for at, content in judged if content and not where[at][0]}
-        if keep:
-            return _blocks(stream, keep)
-    texts = [i for i, (_, tag, _) in enumerate(stream) if not tag and not where[i][0]]
-    if any(where[i][1] for i in texts):
-        return _blocks(stream, {i for i in texts if where[i][1]})
-    return _blocks(stream, {i for i in texts if not where[i][2] or len(stream[i][2]) > 80})
+    texts = {i for i, (_, tag, _) in enumerate(stream) if not tag and not where[i][0]}
+    main = {i for i in texts if where[i][1]}
+    if main:
+        return "\n\n".join(text for text, _ in blocks(stream, main))
+    constant = wrapper.constant if wrapper else frozenset()
+    slot_at = {at: slot for slot, at in wrapper.match(stream) or ()} if constant else {}
+    kept = []
+    for text, own in blocks(stream, texts):
+        linked = any(where[i][2] for i in own) and all(
+            len(stream[i][2]) <= 80 if where[i][2] else not any(map(str.isalnum, entities.unescape(stream[i][2]))) for i in own
+        )
+        if not linked and (slot_at.get(own[0]), _digest(text)) not in constant:
+            kept.append(text)
+    return "\n\n".join(kept)
 
 
 @lru_cache(512)

@@ -338,7 +338,7 @@ def test_wrapper_groups():
 def test_wrapper_matches_without_a_clock():
     """Nested groups that a backtracking matcher tries in exponentially many ways."""
     group = ("+", (("+", ("a", "#", ("?", ("b",)))), ("?", ("d",))))
-    made = html.Wrapper([group, "c", "#"], [None])
+    made = html.Wrapper([group, "c", "#"])
     long = [("a", "a", "")] * 3000
     end = [("c", "c", ""), ("#", "", "x")]
     assert made.match([*long, *end, ("c", "c", "")]) is None
@@ -351,3 +351,22 @@ def test_wrapper_covers_what_it_was_aligned_with():
         pages = ["".join(rng.choice(["<p>x</p>", "<li>y", "<b>z</b>", "<hr>", "<p>u<br>v</p>"]) for _ in range(rng.randint(1, 9))) for _ in range(6)]
         made = html.infer(pages)
         assert all(made.match(html.tokens(p)) is not None for p in pages)
+
+
+def test_html_keeps_short_and_linked_pieces():
+    """Outside a marked main part only blocks of links and blocks constant over the host go."""
+    rng = random.Random(11)
+    pages, truth = [], []
+    for i in range(6):
+        line = prose(rng, 30)
+        pages.append(
+            f"<div><a href='/'>Home</a> <a href='/n'>News</a></div><h2>Title {i}</h2><p>{line} <a href='/x'>see {i}</a> and <b>so</b> on.</p>"
+            f"<ul><li>one {i}</li><li>No.</li></ul><p>{i} May</p><p>{line}</p><div>All rights are ours, always and everywhere.</div>"
+        )
+        truth.append([f"Title {i}", f"{line} see {i} and so on.", f"one {i}", f"{i} May", line])
+    made = html.infer(pages)
+    for page, blocks in zip(pages, truth, strict=True):
+        got = html.extract(page, made).split("\n\n")
+        assert got == blocks
+    alone = html.extract(pages[0], None).split("\n\n")
+    assert "No." in alone and truth[0][1] in alone and not any("Home" in b for b in alone)
