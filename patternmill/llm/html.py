@@ -1,9 +1,9 @@
 """Main-text extraction by wrappers: union-free regular expressions learned from pages of one host.
 
-A page becomes a stream of tokens: tags (name and class or id) and text. Streams of a host
-are folded (equal neighbours become a repeated group) and aligned one after another with the
-wrapper so far: text that differs is a slot, a repeated group's bodies are merged, and what
-only one side has becomes an optional group. The result has sequence, (...)+ and (...)? but
+A page becomes a stream of tokens: tags (name and class or id) and text. Streams are folded
+(equal neighbours become a repeated group) to structures. All distinct structures of a host
+are aligned, in parts and then part with part: a text is a slot, a repeated group's bodies
+are merged, and what only one side has becomes optional. The result has sequence, (...)+ and (...)? but
 no alternatives, and is matched as an automaton in time that grows with the page, which also
 tells the slot of every text.
 
@@ -27,8 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host that its wrapper is learned from, at most.
-SAMPLE = 16
+from .common import stored
+
+#: Parts that a host's distinct structures are dealt to; wrappers of parts merge level by level.
+PARTS = (1024, 32, 1)
 #: Different pages that must say the same before it counts as the host's; two may be copies.
 LEAST_PAGES = 3
 #: Bytes of wrappers that are broadcast at most; more are joined to the pages by host.
@@ -301,25 +303,33 @@ class Wrapper:
         return Wrapper(_frozen(nodes), frozenset(map(tuple, constant)))
 
 
+def structure(stream: list[Token]) -> list:
+    return fold([s for s, _, _ in stream])
+
+
+def merged(wrappers: list[list]) -> list:
+    """One wrapper that covers all given ones, shorter ones first."""
+    wrappers.sort(key=lambda w: (len(w), json.dumps(w)))
+    out = wrappers[0]
+    for other in wrappers[1:]:
+        out = align(out, other)
+    return out
+
+
 def infer(pages: list[str]) -> Wrapper | None:
-    """The wrapper of a host's sample; None where no page has a tag."""
+    """The wrapper of a host's pages, all of them; None where no page has a token."""
     streams = [s for s in map(tokens, dict.fromkeys(pages)) if s]
-    streams.sort(key=len)
     if not streams:
         return None
-    wrapper: list = []
-    for stream in streams:
-        other = fold([s for s, _, _ in stream])
-        wrapper = align(wrapper, other) if wrapper else other
-    made = Wrapper(wrapper)
+    made = Wrapper(merged([_frozen(json.loads(t)) for t in {json.dumps(structure(s)) for s in streams}]))
     seen = Counter(x for stream in streams for x in repeatable(stream, made))
     made.constant = frozenset(x for x, n in seen.items() if constant_over(n, len(streams)))
     return made
 
 
-def constant_over(n: int, pages: int) -> bool:
+def constant_over(n: int | Column, pages: int | Column) -> bool | Column:
     """Whether what n of a host's different pages say in a place is said by the host, not by them."""
-    return n >= LEAST_PAGES and n > 0.6 * pages
+    return (n >= LEAST_PAGES) & (n > 0.6 * pages)
 
 
 def blocks(stream: list[Token], keep: set[int]) -> list[tuple[str, list[int]]]:
@@ -397,23 +407,96 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper) from at most SAMPLE pages of each host, chosen by a hash of the page.
+def _structures(pages: DataFrame) -> DataFrame:
+    """Distinct (host, structure) over all pages (host, page)."""
 
-    The sample is an aggregate (the page of the smallest hash in each of SAMPLE buckets), so
-    a host with a large share of all pages is reduced where its pages are.
-    """
-    page = F.col(html_col).cast("string")
-    h = F.xxhash64(F.lit(7), page)
-    rows = pages.filter(page.isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.pmod(h, F.lit(SAMPLE)).alias("bucket"), h.alias("h"), page.alias("page"))
-    sample = rows.groupBy("host", "bucket").agg(F.min_by("page", "h").alias("page"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stream = tokens(page)
+                if stream:
+                    found.add((host, json.dumps(structure(stream))))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], names=["host", "nodes"])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = infer(sorted(table.column("page").to_pylist()))
-        rows = [found.dumps()] if found else []
-        return pa.table({"host": pa.array([key[0].as_py()] * len(rows), pa.string()), "wrapper": pa.array(rows, pa.string())})
+    return pages.mapInArrow(run, "host string, nodes string").distinct()
 
-    return sample.groupBy("host").applyInArrow(run, "host string, wrapper string")
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(host, nodes) with one wrapper a host; wrappers of few distinct structures meet at each level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes = group[0] if len(group) == 1 else json.dumps(merged([_frozen(json.loads(t)) for t in group]))
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([nodes], pa.string())], names=["host", "part", "nodes"])
+
+        for batch in batches:
+            for host, part, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (host, part):
+                    if key:
+                        yield done()
+                    key, group = (host, part), []
+                group.append(nodes)
+        if key:
+            yield done()
+
+    found = found.select("host", F.xxhash64("nodes").alias("part"), "nodes")
+    for parts in PARTS:
+        dealt = found.withColumn("part", F.pmod("part", F.lit(parts))).repartition("host", "part").sortWithinPartitions("host", "part", "nodes")
+        found = dealt.mapInArrow(run, "host string, part long, nodes string")
+    return found.select("host", "nodes")
+
+
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, object]:
+    """rows (with __host) and __wrapper, or the broadcast of all wrappers where they are small."""
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        known = rows.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
+        return rows.withColumn("__wrapper", F.lit(None).cast("string")), known
+    return rows.join(wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), "__host", "left"), None
+
+
+def _constants(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(host, constant) from counts over all different pages of each host."""
+    rows, known = _with_wrappers(pages.withColumnRenamed("host", "__host"), wrappers, broadcast_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for page, host, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source = known.value.get(host) if known else own
+                stream = tokens(page)
+                if stream and source:
+                    seen[host, -1, 0] += 1
+                    seen.update((host, *x) for x in repeatable(stream, _loaded(source)))
+            columns = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "slot", "digest", "n"])
+
+    counts = rows.select("__page", "__host", "__wrapper").mapInArrow(run, "host string, slot long, digest long, n long").groupBy("host", "slot", "digest").agg(F.sum("n").alias("n"))
+    counts = stored(counts.filter((F.col("slot") < 0) | (F.col("n") >= LEAST_PAGES)), "slots")
+    totals = counts.filter("slot < 0").select("host", F.col("n").alias("pages"))
+    same = counts.filter("slot >= 0").join(totals, "host").filter(constant_over(F.col("n"), F.col("pages")))
+    return same.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array("slot", "digest")))).alias("constant"))
+
+
+def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(host, wrapper) from all pages of each host.
+
+    Structures are made distinct and texts of slots counted where the pages are, so a host
+    with a large share of all pages moves little to one place. Equal pages of a host count
+    once, so copies do not make their text the host's; they meet by host and hash of the page.
+    """
+    page = F.col(html_col).cast("string")
+    rows = pages.filter(page.isNotNull()).select(host_of(F.col(url_col)).alias("host"), page.alias("__page"))
+    wrappers = stored(_merged(_structures(rows)).select("host", F.concat(F.lit("["), "nodes", F.lit(", []]")).alias("wrapper")), "structures")
+    different = rows.groupBy("host", F.xxhash64("__page").alias("h"), F.octet_length("__page").alias("size")).agg(F.min("__page").alias("__page")).select("host", "__page")
+    constant = _constants(different, wrappers, broadcast_bytes)
+    nodes = F.expr("substring(wrapper, 1, length(wrapper) - 3)")
+    return wrappers.join(constant, "host", "left").select("host", F.concat(nodes, F.coalesce("constant", F.lit("[]")), F.lit("]")).alias("wrapper"))
 
 
 def extract_pages(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -422,14 +505,8 @@ def extract_pages(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id"
     wrappers (host, wrapper) should be a stored table. A null page has the empty text, a null
     url no host and so the wrapper of pages without a host. Repeated rows each give a row.
     """
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("__page"), host_of(F.col(url_col)).alias("__host"))
-    known = None
-    if size <= broadcast_bytes:
-        known = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
-        rows = rows.withColumn("__wrapper", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(wrappers.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), "__host", "left")
+    rows, known = _with_wrappers(rows, wrappers, broadcast_bytes)
     rows = rows.select(id_col, url_col, "__page", "__host", "__wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

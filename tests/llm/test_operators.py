@@ -370,3 +370,26 @@ def test_html_keeps_short_and_linked_pieces():
         assert got == blocks
     alone = html.extract(pages[0], None).split("\n\n")
     assert "No." in alone and truth[0][1] in alone and not any("Home" in b for b in alone)
+
+
+def test_wrappers_count_all_pages(spark):
+    """Forty templates on one host, each with unnamed boilerplate that most pages share; a host of three pages."""
+    rng = random.Random(12)
+    rows, truth = [], []
+    for i in range(120):
+        body = [prose(rng, 12), prose(rng, 8)]
+        extra = f"<table class='t{chr(97 + i % 40 // 8)}{chr(97 + i % 8)}'><tr><td>{prose(rng, 4)}</td></tr></table>"
+        rows.append((i, "http://hot/" + str(i), f"{extra}<p>{body[0]}</p><p>{body[1]}</p><div>Printed on recycled pages since last year.</div>"))
+        truth.append(body)
+    for i in range(3):
+        truth.append([prose(rng, 10)])
+        rows.append((120 + i, f"http://small/{i}", f"<p>{truth[-1][0]}</p><p>All of us at small say hello.</p>"))
+    rows += [(200 + i, "http://copies/", f"<p>{truth[0][0]}</p>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for limit in (1 << 20, 0):
+        wrappers = html.stored(html.learn_wrappers(df, broadcast_bytes=limit), "w")
+        made = {r["host"]: html.Wrapper.loads(r["wrapper"]) for r in wrappers.collect()}
+        assert all(made["hot"].match(html.tokens(h)) is not None for i, _, h in rows if i < 120)
+        found = {r["page_id"]: r["text"].split("\n\n") for r in html.extract_pages(df, wrappers, broadcast_bytes=limit).collect()}
+        assert all(found[i][-len(t) :] == t for i, t in enumerate(truth))
+        assert all(found[200 + i] == [truth[0][0]] for i in range(9))
