@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -111,22 +112,34 @@ def places(stream: list[Token]) -> list[tuple[bool, bool, bool]]:
 # ---- wrappers: nodes are a symbol, ("+", nodes) or ("?", nodes)
 
 
-def fold(nodes: list, longest: int = 16) -> list:
-    """Replaces runs of equal neighbouring sequences by a repeated group, short periods first."""
-    for size in range(1, longest + 1):
-        out, i = [], 0
-        while i < len(nodes):
-            body = nodes[i : i + size]
-            n = 1
-            while len(body) == size and nodes[i + n * size : i + (n + 1) * size] == body:
-                n += 1
-            if n > 1 and not (size == 1 and body[0] == "#"):
-                out.append(_repeated(body))
-                i += n * size
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
+def fold(nodes: list) -> list:
+    """Replaces runs of equal neighbouring sequences by a repeated group, short periods first.
+
+    Periods go up to half of the sequence. One is looked at only where it occurs: where as
+    many neighbouring nodes as the period equal those a period later.
+    """
+    number: dict = {}
+    x = np.array([number.setdefault(n, len(number)) for n in nodes])
+    size = 1
+    while 2 * size <= len(nodes):
+        apart = np.flatnonzero(x[size:] != x[:-size])
+        if np.diff(apart, prepend=-1, append=len(x) - size).max() > size:
+            out, i = [], 0
+            while i < len(nodes):
+                body = nodes[i : i + size]
+                n = 1
+                while len(body) == size and nodes[i + n * size : i + (n + 1) * size] == body:
+                    n += 1
+                if n > 1 and not (size == 1 and body[0] == "#"):
+                    out.append(_repeated(body))
+                    i += n * size
+                else:
+                    out.append(nodes[i])
+                    i += 1
+            if len(out) < len(nodes):
+                x = np.array([number.setdefault(n, len(number)) for n in out])
+            nodes = out
+        size += 1
     return nodes
 
 

@@ -393,3 +393,25 @@ def test_wrappers_count_all_pages(spark):
         found = {r["page_id"]: r["text"].split("\n\n") for r in html.extract_pages(df, wrappers, broadcast_bytes=limit).collect()}
         assert all(found[i][-len(t) :] == t for i, t in enumerate(truth))
         assert all(found[200 + i] == [truth[0][0]] for i in range(9))
+
+
+def test_wrapper_repeats_long_cards():
+    """A card of more than 16 tokens is a repeated group, whatever its length and number."""
+    for size in (5, 40):
+        card = "<div>" + "".join(f"<p class='c{chr(97 + k // 26)}{chr(97 + k % 26)}'>t</p>" for k in range(size)) + "</div>"
+        made = html.infer([f"<h1>x</h1>{card * n}<hr>" for n in (2, 3)])
+        assert made.match(html.tokens(f"<h1>x</h1>{card * 9}<hr>")) is not None
+    rng = random.Random(13)
+    for _ in range(300):
+        nodes = rng.choices("abc", k=rng.randint(0, 30))
+        plain, size = nodes, 1
+        while 2 * size <= len(plain):
+            out, i = [], 0
+            while i < len(plain):
+                n = 1
+                while i + (n + 1) * size <= len(plain) and plain[i + n * size : i + (n + 1) * size] == plain[i : i + size]:
+                    n += 1
+                out.append(html._repeated(plain[i : i + size]) if n > 1 else plain[i])
+                i += n * size if n > 1 else 1
+            plain, size = out, size + 1
+        assert html.fold(nodes) == plain
