@@ -5,7 +5,7 @@ LEAST words, no word in two tiles, the longest marked first. Tiles may lie in an
 a passage whose sentences were shuffled is covered like the original.
 
 Runs of LEAST equal words (seeds) are joined first; only pairs of a document and an item
-that share a seed are tiled. Matches grow from seeds by running Karp-Rabin hashes: the hash
+that share a seed are tiled. An item with fewer words is one seed, and has one tile, whole. Matches grow from seeds by running Karp-Rabin hashes: the hash
 of any window follows from two prefix sums, so a match's length is found by doubling and
 halving, and the words are compared once at the end. A heap yields the longest match; one
 that meets marked words is cut to its free parts and goes back.
@@ -14,6 +14,7 @@ that meets marked words is cut to its free parts and goes back.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,10 +35,20 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: ASCII upper case becomes lower case, other ASCII but digits becomes a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+#: Characters of scripts that put no spaces between words: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
+#: Bytes that do not start a character of three or four bytes, as all of those scripts have.
+_NARROW = bytes(c for c in range(256) if c < 0xE0)
 
 
 def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+    """Runs of characters other than ASCII marks and white space; single characters of unspaced scripts."""
+    if not text:
+        return []
+    data = text.encode("utf-8", "surrogatepass")
+    if data.translate(None, _NARROW):
+        data = _UNSPACED.sub(r" \1 ", text).encode("utf-8", "surrogatepass")
+    return data.translate(_TABLE).split()
 
 
 class _Windows:
@@ -98,17 +109,17 @@ class Items:
         self.ids = [i for i, _ in rows]
         # Word numbers start at 1; 0 is any word that no item has.
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64) for _, text in rows]
-        keys, of, at = [], [], []
-        for k, own in enumerate(self.words):
-            if len(own) >= least:
-                keys.append(_Windows(own).at(np.arange(len(own) - least + 1), least))
-                of.append(np.full(len(keys[-1]), k))
-                at.append(np.arange(len(keys[-1])))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.of = np.concatenate(of)[order] if of else np.zeros(0, int)
-        self.at = np.concatenate(at)[order] if at else np.zeros(0, int)
+        #: Seeds by their number of words: sorted hashes, items, places in the items.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(least, len(own)) for own in self.words if len(own)}):
+            keys, of, at = [], [], []
+            for k, own in enumerate(self.words):
+                if min(least, len(own)) == size:
+                    keys.append(_Windows(own).at(np.arange(len(own) - size + 1), size))
+                    of.append(np.full(len(keys[-1]), k))
+                    at.append(np.arange(len(keys[-1])))
+            order = np.argsort(np.concatenate(keys), kind="stable")
+            self.seeds[size] = np.concatenate(keys)[order], np.concatenate(of)[order], np.concatenate(at)[order]
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
         """(number of the text, number of the item, tiles) for each pair that shares a seed."""
@@ -121,28 +132,27 @@ class Items:
             flat.append(b"")
         x = np.fromiter(map(self.number.get, flat, repeat(0)), np.int64, len(flat))
         known = np.concatenate([[0], np.cumsum(x > 0)])
-        at = np.flatnonzero(known[self.least :] - known[: -self.least] == self.least)
-        if not len(at) or not len(self.keys):
-            return
         near = _Windows(x)
-        hashes = near.at(at, self.least)
-        low, high = np.searchsorted(self.keys, hashes), np.searchsorted(self.keys, hashes, "right")
-        hit = high > low
-        at, low, count = at[hit], low[hit], (high - low)[hit]
-        if not len(at):
-            return
-        which = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        place = np.repeat(at, count)
-        text = np.searchsorted(starts, place, "right") - 1
-        item = self.of[which]
-        order = np.lexsort((item, text))
-        edges = np.flatnonzero((np.diff(text[order], prepend=-1) != 0) | (np.diff(item[order], prepend=-1) != 0))
-        for part in np.split(order, edges[1:]):
-            k, i = int(text[part[0]]), int(item[part[0]])
-            doc = x[starts[k] : starts[k] + len(own[k])]
-            found = tiles(self.words[i], doc, self.at[which[part]], place[part] - starts[k], self.least)
-            if found:
-                yield k, i, found
+        for size, (keys, of, places) in self.seeds.items():
+            at = np.flatnonzero(known[size:] - known[:-size] == size)
+            hashes = near.at(at, size)
+            low, high = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, "right")
+            hit = high > low
+            at, low, count = at[hit], low[hit], (high - low)[hit]
+            if not len(at):
+                continue
+            which = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            place = np.repeat(at, count)
+            text = np.searchsorted(starts, place, "right") - 1
+            item = of[which]
+            order = np.lexsort((item, text))
+            edges = np.flatnonzero((np.diff(text[order], prepend=-1) != 0) | (np.diff(item[order], prepend=-1) != 0))
+            for part in np.split(order, edges[1:]):
+                k, i = int(text[part[0]]), int(item[part[0]])
+                doc = x[starts[k] : starts[k] + len(own[k])]
+                found = tiles(self.words[i], doc, places[which[part]], place[part] - starts[k], size)
+                if found:
+                    yield k, i, found
 
 
 _SCHEMA = "item_id long, coverage double, n_tiles int, longest int"
@@ -162,8 +172,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
     """Pairs of a document and an item that tiles cover to at least `coverage` of the item's words.
 
     Returns doc_id, item_id, coverage, n_tiles, longest. Words are runs of characters other
-    than ASCII marks and white space, ASCII letters lower-cased; texts are read whole. An
-    item with fewer than `least` words leaks nothing, a null text has no words. Repeated
+    than ASCII marks and white space, ASCII letters lower-cased, and single characters of
+    scripts without spaces; texts are read whole. An item with fewer than `least` words leaks
+    where it is copied whole, one without words nowhere; a null text has no words. Repeated
     documents or items give repeated pairs. The benchmark is broadcast up to broadcast_bytes
     of text, and joined by its seeds beyond.
     """
@@ -197,12 +208,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
 def _joined(docs: DataFrame, items: DataFrame, coverage: float, least: int, kind: str) -> DataFrame:
     """The way for a benchmark of any size: seeds meet by shuffle, then texts are tiled pair by pair."""
 
-    def seeds(df: DataFrame, key: str, key_kind: str) -> DataFrame:
+    sizes_of = F.udf(lambda text: min(least, len(words(text))), "int")
+    sizes = sorted(r["n"] for r in items.select(sizes_of("text").alias("n")).distinct().collect() if r["n"])
+
+    def seeds(df: DataFrame, key: str, key_kind: str, whole: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, text in enumerate(batch.column(1)):
                     own = words(text.as_py())
-                    found = {xxhash.xxh3_64_intdigest(b" ".join(own[k : k + least])) - (1 << 63) for k in range(len(own) - least + 1)}
+                    wanted = [n for n in (min(least, len(own)),) if n] if whole else sizes
+                    found = {xxhash.xxh3_64_intdigest(b" ".join(own[k : k + n])) - (1 << 63) for n in wanted for k in range(len(own) - n + 1)}
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array(sorted(found), pa.int64())], names=[key, "seed"])
 
         return df.mapInArrow(run, f"{key} {key_kind}, seed long")
@@ -210,7 +225,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, least: int, kind
     # Numbers stand for rows, so that rows with equal or null ids stay apart.
     docs = docs.withColumn("d", F.xxhash64("doc_id", "text"))
     items = items.withColumn("b", F.xxhash64("item_id", "text"))
-    pairs = seeds(docs.select("d", "text").distinct(), "d", "long").join(seeds(items.select("b", "text").distinct(), "b", "long"), "seed").select("d", "b").distinct()
+    pairs = seeds(docs.select("d", "text").distinct(), "d", "long", False).join(seeds(items.select("b", "text").distinct(), "b", "long", True), "seed").select("d", "b").distinct()
     both = pairs.join(docs, "d").join(items.withColumnRenamed("text", "item"), "b").select("doc_id", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

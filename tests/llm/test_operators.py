@@ -415,3 +415,13 @@ def test_wrapper_repeats_long_cards():
                 i += n * size if n > 1 else 1
             plain, size = out, size + 1
         assert html.fold(nodes) == plain
+
+
+def test_tiling_of_short_and_unspaced_items(spark):
+    items = ["Blue whale!", "敏捷的棕色狐狸跳过了懒狗", "สุนัขจิ้งจอกสีน้ำตาล", "Paris", "?!"]
+    rows = [(0, "saw a blue, whale today"), (1, "blue sky and a whale"), (2, "昨天敏捷的棕色狐狸跳过了懒狗吗"), (3, "狗懒了过跳狐色棕的捷敏"), (4, "เห็นสุนัขจิ้งจอกสีน้ำตาลวิ่ง"), (5, "comparison"), (6, "PARIS"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    for limit in (tiling.BROADCAST_BYTES, 0):
+        got = sorted((r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"]) for r in tiling.leaks(df, bench, broadcast_bytes=limit).collect())
+        assert got == [(0, 0, 1.0, 1), (2, 1, 1.0, 1), (4, 2, 1.0, 1), (6, 3, 1.0, 1)]
