@@ -10,8 +10,8 @@ to the logits, so prediction looks words up in a table and sums rows over the wh
 
 A temperature, fitted on windows of documents kept out of the gradient steps, turns logits into
 calibrated scores. The rejection threshold is the quantile of those scores that leaves all
-but REJECT_SHARE of such windows, moved halfway to chance, so that only texts well outside
-what was seen go.
+but REJECT_SHARE of such windows. Longer texts score higher, so there is one for each doubling
+of the number of words, as far as the held-out documents hold enough windows of that length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows per language that training reads at most, on average.
 ROWS_PER_LANG = 400
-#: Share of calibration windows whose score lies below the raw rejection threshold.
+#: Share of calibration windows whose score lies below the rejection threshold of their length.
 REJECT_SHARE = 0.001
 MEMO_LIMIT = 200_000
 UNKNOWN = "und"
@@ -47,7 +47,9 @@ class LanguageModel:
         self.vectors = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
         self.out = np.zeros((dim, len(langs)), np.float32)
         self.bias = np.zeros(len(langs), np.float32)
-        self.temperature, self.threshold = 1.0, 0.0
+        self.temperature = 1.0
+        #: Rejection thresholds of texts of 1, 2 to 3, 4 to 7, ... words; the last is for longer ones too.
+        self.thresholds = [0.0]
         self.rng = rng
         self._forget()
 
@@ -126,9 +128,42 @@ class LanguageModel:
             grid = np.geomspace(0.25, 8, 41)
             loss = [-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
             self.temperature = float(grid[int(np.argmin(loss))])
-            right = _softmax(logits / self.temperature)
-            chance = 1 / len(self.langs)
-            self.threshold = chance + (float(np.quantile(right.max(1), REJECT_SHARE)) - chance) / 2
+            usable = [i for i in np.flatnonzero(held if held.any() else ~held) if split[i]]
+            self._calibrate([split[i] for i in usable], [labels[i] for i in usable])
+
+    def _calibrate(self, docs: list[list[str]], labels: list[int]) -> None:
+        """Sets the thresholds from windows of each length, as many of each language."""
+        sums = [np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self._word_logits(words), 0)]) for words in docs]
+        self.thresholds = []
+        least = 1
+        # A quantile needs as many windows that do not overlap as one of them is of all.
+        while not self.thresholds or sum(len(words) // least for words in docs) >= 1 / REJECT_SHARE:
+            long = [i for i, words in enumerate(docs) if len(words) >= least]
+            each = Counter(labels[i] for i in long)
+            means = []
+            for i in long:
+                n = len(docs[i])
+                for _ in range(-(-1200 // each[labels[i]])):
+                    size = int(self.rng.integers(least, min(2 * least, n + 1)))
+                    start = int(self.rng.integers(0, n - size + 1))
+                    means.append((sums[i][start + size] - sums[i][start]) / size)
+            scores = _softmax((np.array(means) + self.bias) / self.temperature).max(1)
+            self.thresholds.append(float(np.quantile(scores, REJECT_SHARE)))
+            least *= 2
+
+    def threshold(self, n_words: int) -> float:
+        return self.thresholds[min(max(n_words, 1).bit_length(), len(self.thresholds)) - 1]
+
+    def _word_logits(self, words: list[str]) -> np.ndarray:
+        """A row of logits for each word."""
+        ids = list(map(self.index.get, words))
+        if None in ids:
+            self._learn(words)
+            ids = list(map(self.index.get, words))
+            if None in ids:  # the table was emptied meanwhile
+                self._learn(words)
+                ids = list(map(self.index.get, words))
+        return self.logits[ids]
 
     def _learn(self, words: list[str]) -> None:
         """Adds the logits of words that are not in the table yet."""
@@ -148,25 +183,21 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Languages and calibrated scores in 0 to 1, over whole texts; `und` and 0 without a letter."""
+        return [(lang, score) for lang, score, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score, and whether the score is too low for a text of that length."""
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
         sizes = np.array([len(x) for x in split])
-        out = [(UNKNOWN, 0.0)] * len(texts)
+        out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not sizes.sum() or not self.langs:
             return out
-        words = [w for x in split for w in x]
-        ids = list(map(self.index.get, words))
-        if None in ids:
-            self._learn(words)
-            ids = list(map(self.index.get, words))
-            if None in ids:  # the table was emptied meanwhile
-                self._learn(words)
-                ids = list(map(self.index.get, words))
         some = np.flatnonzero(sizes)
         starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        mean = np.add.reduceat(self.logits[ids], starts) / sizes[some][:, None]
+        mean = np.add.reduceat(self._word_logits([w for x in split for w in x]), starts) / sizes[some][:, None]
         p = _softmax((mean + self.bias) / self.temperature)
         for i, best, score in zip(some.tolist(), p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-            out[i] = self.langs[best], score
+            out[i] = self.langs[best], score, score < self.threshold(len(split[i]))
         return out
 
 
@@ -201,7 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """docs with lang_pred, score and rejected added (columns of those names are replaced).
 
     Only the text decides. rejected says that the text has no letter (or is null), or that
-    its score is below the model's threshold. Repeated rows get equal answers.
+    its score is below the model's threshold for as many words. Repeated rows get equal answers.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -217,9 +248,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 while n < len(texts) and size < 1_000_000:
                     size += len(texts[n] or "")
                     n += 1
-                got += own.predict(texts[:n])
+                got += own.judge(texts[:n])
                 texts = texts[n:]
-            yield pd.DataFrame({"lang_pred": [x for x, _ in got], "score": [s for _, s in got], "rejected": [x == UNKNOWN or s < own.threshold for x, s in got]})
+            yield pd.DataFrame({"lang_pred": [x for x, _, _ in got], "score": [s for _, s, _ in got], "rejected": [r for _, _, r in got]})
 
     found = "__lang_found"
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]

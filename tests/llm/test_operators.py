@@ -425,3 +425,24 @@ def test_tiling_of_short_and_unspaced_items(spark):
     for limit in (tiling.BROADCAST_BYTES, 0):
         got = sorted((r["doc_id"], r["item_id"], r["coverage"], r["n_tiles"]) for r in tiling.leaks(df, bench, broadcast_bytes=limit).collect())
         assert got == [(0, 0, 1.0, 1), (2, 1, 1.0, 1), (4, 2, 1.0, 1), (6, 3, 1.0, 1)]
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(14)
+    sounds = {"aa": ["ka", "mo", "tu", "ri"], "bb": ["sch", "enf", "olt", "ung"], "cc": ["ñe", "éa", "ço", "ü"]}
+
+    def made(parts):
+        return " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(20, 60)))
+
+    learned = [(i, made(sounds[lang]), lang) for i, lang in enumerate(rng.choices(sorted(sounds), k=1800))]
+    others = [["при", "вет", "ло", "ша"], ["xq", "zw", "jv", "kk"], ["αβ", "γο", "ως"], ["敏", "捷", "的", "棕"]]
+    strange = [(5000 + i, made(others[i % 4]), None) for i in range(80)]
+    strange += [(6000 + i, made(sounds["aa"] + sounds["bb"] + sounds["cc"]), None) for i in range(40)]
+    df = spark.createDataFrame(learned + strange, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    found = langid.identify(df, model).collect()
+    held = [r["rejected"] for r in found if r["doc_id"] < 5000 and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held) > 350 and sum(held) <= 4
+    assert all(r["rejected"] for r in found if 5000 <= r["doc_id"] < 6000)
+    assert len(model.thresholds) > 3
+    assert sum(r["rejected"] for r in found if r["doc_id"] >= 6000) >= 36
