@@ -22,7 +22,9 @@ from ..functions import columns as C
 from ..functions.columns import Val
 from ..functions.values import text
 from ..plans import syntax as S
+from ..plans.flow import lasting
 from ..sources.records import CHUNK, NR, POS, Records, split_column
+from .batched import Batched, Unbatchable
 from .ordered import carried, in_range
 from .sequential import Machine
 from .symbolic import Line, Output, Row, State, Symbolic, Unplannable
@@ -641,20 +643,27 @@ def sort_order(command: str) -> tuple[int, bool, bool] | None:
 
 
 def sequential(program: S.Program, records: Records, options: Options, loads: dict, reason: str, begun: Machine) -> Plan:
-    """Tier D: Arrow batches of records through the evaluator, in each partition or in one ordered stream."""
-    lasting = S.walk((program.rules, tuple(program.functions.values())))
-    stateless = not program.end and not any(isinstance(n, (S.Getline, S.Exit)) or n in (S.Var("NR"), S.Var("FNR")) for n in lasting) and not any(r.until for r in program.rules) and _local(program)
+    """Tier D: Arrow batches of records through numpy or the evaluator, in each partition or in one ordered stream."""
+    inside = list(S.walk((program.rules, tuple(program.functions.values()))))
+    stateless = not program.end and not any(isinstance(n, (S.Getline, S.Exit)) or n in (S.Var("NR"), S.Var("FNR")) for n in inside) and not any(r.until for r in program.rules) and not lasting(program, frozenset(loads))
     structured = options.columns is not None
     names = options.columns or ["value"]
     setup = dict(fs=options.fs, ofs=options.ofs, variables=options.variables, args=options.args, posix=options.posix, allow_shell=options.allow_shell, structured=structured)
     given = list(records.columns) if records.columns else ["value"]
     own = records if stateless else records.ordered()
-    line = [C.text(own.value(i + 1)).alias(f"f{i}") for i in range(len(given))] if records.columns else [F.col("value").alias("f0")]
-    numeric = [own.value(i + 1).kind == "num" for i in range(len(given))] if records.columns else [False]
+    table, width = records.columns is not None, len(given)
+    schema = ", ".join(f"`{c}` string" for c in names)
+    if stateless and not loads:
+        try:
+            made = _batched(program, own, begun, names, structured)
+            return Plan("D", f"{reason}; whole batches, every partition by itself", own.df.select(*made[0]).mapInArrow(made[1], schema), not structured, begun)
+        except Unbatchable as e:
+            reason = f"{reason}; {e}"
+    line = [C.text(own.value(i + 1)).alias(f"f{i}") for i in range(len(given))] if table else [F.col("value").alias("f0")]
+    numeric = [own.value(i + 1).kind == "num" for i in range(len(given))] if table else [False]
     df = own.df.select(*line, *([] if stateless else [CHUNK, POS]))
     if not stateless:
         df = df.repartition(1).sortWithinPartitions(CHUNK, POS).drop(CHUNK, POS)
-    table, width = records.columns is not None, len(given)
     first = replace(program, begin=begun.program.begin)
     tables = {name: _collected(name, load[0]) for name, load in loads.items()}
 
@@ -679,13 +688,36 @@ def sequential(program: S.Program, records: Records, options: Options, loads: di
         if going:
             for _ in _drained(machine, lines()):
                 if len(machine.out) > 5000:
-                    yield _batch(machine, names, structured)
+                    yield _batch(machine.out, names, structured)
+                    machine.out.clear()
         machine.run_end()
-        yield _batch(machine, names, structured)
+        yield _batch(machine.out, names, structured)
+
+    return Plan("D", f"{reason}; {'every partition by itself' if stateless else 'one ordered stream'}", df.mapInArrow(run, schema), not structured, begun)
+
+
+def _batched(program: S.Program, own: Records, begun: Machine, names: list[str], structured: bool) -> tuple[list[Column], object]:
+    """The columns that a program reads, and a function of their batches."""
+    constants = {k: v for k, v in begun.g.items() if k not in ("NR", "FNR", "NF")}
+    fs = text(begun.g["FS"])
+    kinds, columns = None, [F.col("value")]
+    if own.columns is not None:
+        values = [own.value(i + 1) for i in range(len(own.columns))]
+        kinds = ["num" if v.kind == "num" else "str" if v.kind == "str" else "input" for v in values]
+        columns = [(v.col if v.kind == "num" else C.text(v)).alias(f"f{i}") for i, v in enumerate(values)]
+        if not any(isinstance(n, S.Field) and not isinstance(S.strip(n.index), S.Num) for n in S.walk(program.rules)):
+            # Fields that no rule reads are not read from the table either.
+            read = {int(S.strip(n.index).value) for n in S.walk(program.rules) if isinstance(n, S.Field)}
+            columns = [c if i + 1 in read else F.lit(0).alias(f"f{i}") for i, c in enumerate(columns)]
+            kinds = [k if i + 1 in read else "num" for i, k in enumerate(kinds)]
+    Batched(program, constants, kinds, structured, fs)  # raises what it cannot do
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = Batched(program, constants, kinds, structured, fs)
+        for batch in batches:
+            yield rules.run(batch, names)
 
-    kinds = {c: "string" for c in names}
-    out = df.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
-    return Plan("D", f"{reason}; {'every partition by itself' if stateless else 'one ordered stream'}", out, not structured, begun)
+    return columns, run
 
 
 #: Rows of a lookup table that an evaluator may hold.
@@ -702,29 +734,6 @@ def _collected(name: str, df: DataFrame) -> dict:
     return {"\x1c".join(text(value(r[k])) for k in keys): value(r["value"]) for r in rows}
 
 
-def _local(program: S.Program) -> bool:
-    """Whether every variable of the rules is assigned, unconditionally and plainly, before it is read."""
-    for rule in program.rules:
-        known: set[str] = set()
-        for s in rule.body.body if rule.body else ():
-            if isinstance(s, S.Expr) and isinstance(s.value, S.Assign) and s.value.op == "=" and isinstance(s.value.target, S.Var):
-                known.add(s.value.target.name)
-            for n in S.walk(s):
-                if isinstance(n, S.For) and isinstance(n.init, S.Expr) and isinstance(n.init.value, S.Assign):
-                    known.add(n.init.value.target.name)
-                if isinstance(n, S.Builtin) and n.name == "split":
-                    known.add(n.args[1].name)
-        for n in S.walk(rule):
-            target = getattr(n, "target", None)
-            if isinstance(target, S.Var) and target.name not in known and target.name != "NF":
-                return False
-            if isinstance(n, (S.Index, S.In, S.Delete)) and n.array not in known:
-                return False
-    return not any(isinstance(getattr(n, "target", None), S.Index) for n in S.walk(program.rules)) and not any(
-        isinstance(getattr(n, "target", None), S.Var) and n.target.name not in f.params for f in program.functions.values() for n in S.walk(f.body)
-    )
-
-
 def _typed(machine: Machine, numeric: list[bool], width: int) -> None:
     """A table's fields are its columns, whatever the separator."""
 
@@ -756,18 +765,17 @@ def _drained(machine: Machine, lines: Iterator[str]) -> Iterator[None]:
         return
 
 
-def _batch(machine: Machine, names: list[str], structured: bool) -> pa.RecordBatch:
+def _batch(out: list, names: list[str], structured: bool) -> pa.RecordBatch:
+    """What was printed, as rows of columns or of lines."""
     if structured:
-        rows = [tuple(text(v) for v in row) for row in machine.out]
+        rows = [tuple(text(v) for v in row) for row in out]
         rows = [row + ("",) * (len(names) - len(row)) for row in rows]
         columns = [pa.array([row[i] for row in rows], pa.string()) for i in range(len(names))]
     else:
-        pieces = "".join(machine.out)
-        lines = pieces.split("\n")
+        lines = "".join(out).split("\n")
         if lines and lines[-1] == "":
             lines.pop()
         columns = [pa.array([x.encode("utf-8", "surrogateescape").decode("utf-8", "replace") for x in lines], pa.string())]
-    machine.out.clear()
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 

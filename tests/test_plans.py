@@ -138,3 +138,49 @@ def test_empty_input(spark):
     own = Records(empty, None, Records.from_lines(spark, ["x"]).order)
     assert P.compile("{ n++ } END { print NR, n + 0 }").to_df(own).collect()[0][0] == "0 0"
     assert P.compile("{ print }").to_df(own).collect() == []
+
+
+BATCHED = [
+    '{ n = 0; x = $2 + 0; while (x > 1 && n < 50) { x = x % 2 ? 3 * x + 1 : x / 2; n++ } print $1, n }',
+    '{ s = 0; i = 1; do { if (i == 3) { i++; continue } s += i; if (s > 20) break; i++ } while (i < $2 + 4); print s, i }',
+    '{ x = 0 } $2 + 0 > 2 { for (i = 0; i < $2; i += 2) x += i * i; print "big", x } { while (x > 5) x -= 5; print $1 "-" x, NF; if (x == 4) next; print "end" }',
+    '{ k = 0; while (k * k < ($2 ^ 2) / 2) { if ($1 == "b") { print "b at", k; k++ } ++k } printf "%s|%5.1f|%d\\n", $1, k / 3, -k }',
+    '{ t = 7; while (t > 1) { t = int(t / 2); if (!(t % 3) || t == 1 && $1 ~ /^[ac]/) print t, sqrt(t) } }',
+]
+
+
+@pytest.mark.parametrize("program", BATCHED)
+def test_whole_batches(program, spark):
+    """What numpy does on whole batches is what the evaluator does record by record, in its order."""
+    df = spark.createDataFrame([(s,) for s in LINES], "value string").coalesce(1)
+    plan = P.compile(program).plan(Records(df, None, Records.from_lines(spark, ["x"]).order))
+    assert plan.tier == "D" and "whole batches" in plan.reason, plan.reason
+    assert [r[0] for r in plan.df.collect()] == P.run(program, "\n".join(LINES) + "\n").split("\n")[:-1]
+
+
+def test_what_lasts():
+    """A variable lasts where some path reads it before the record has set it."""
+    from patternmill.plans.flow import lasting
+    from patternmill.plans.syntax import parse
+
+    for program, want in [
+        ("{ print x; while (x < 3) x++; x = $1 }", {"x"}),
+        ("{ x = 0; while (x < $1) x++; print x }", set()),
+        ("$1 { x = 1 } { print x }", {"x"}),
+        ("{ if ($1) x = 1; else x = 2; print x }", set()),
+        ("{ if ($1) x = 1; else next; print x }", set()),
+        ("{ $1 && x = 1; print x }", {"x"}),
+        ("{ n = split($0, a); for (i = 1; i <= n; i++) print a[i] }", set()),
+        ("{ a[$1] = 1; print length(a) }", {"a"}),
+        ("function f(y) { z += y; return z } { print f($1) }", {"z"}),
+        ("{ OFS = $1; print 1, 2 }", {"OFS"}),
+        ("{ do { if ($1) continue; x = 1 } while (x) }", {"x"}),
+    ]:
+        assert lasting(parse(program)) == want, program
+
+
+def test_nulls_in_batches(spark):
+    """A null number prints as nothing and counts as 0."""
+    df = spark.createDataFrame([(1, None, "a"), (None, 2.5, None)], "i long, x double, s string").coalesce(1)
+    plan = P.compile("{ n = 0; while (n < $1 + $2) n++; print $1, $2, $3, n }").plan(df, columns=["i", "x", "s", "n"])
+    assert "whole batches" in plan.reason and [tuple(r) for r in plan.df.collect()] == [("1", "", "a", "1"), ("", "2.5", "", "3")]
