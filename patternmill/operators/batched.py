@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 
 from ..errors import PatternmillError, RunError
 from ..functions import regexes
-from ..functions.values import Strnum, format_number, num, split_fields, sprintf, text
+from ..functions.values import Strnum, compare, format_number, num, split_fields, sprintf, text, true
 from ..plans import syntax as S
+from .sequential import COMPARE as _HOLDS
 
 Rows = np.ndarray
 #: (kind, function of rows); kinds: num, str, input (a string that may look like a number) and null.
@@ -304,7 +305,7 @@ class Batched:
             return lambda rows: _wide(made(rows), rows) != 0
         if kind == "str":
             return lambda rows: _wide(np.asarray(made(rows), object), rows) != ""
-        raise Unbatchable("input is asked whether it is true")
+        return lambda rows: np.array([true(x) for x in self.listed((kind, made), rows)], bool)
 
     def expr(self, e) -> Value:
         e = S.strip(e)
@@ -383,7 +384,8 @@ class Batched:
                 a, b = self.as_text((left, x), fmt), self.as_text((right, y), fmt)
                 encoded = lambda own: np.array([s.encode("utf-8", "surrogateescape") for s in own], object)
                 return "num", lambda rows: holds(encoded(a(rows)), encoded(b(rows))).astype(float)
-            raise Unbatchable("input is compared with a number")
+            holds = _HOLDS[e.op]
+            return "num", lambda rows: np.array([holds(compare(a, b)) for a, b in zip(self.listed((left, x), rows), self.listed((right, y), rows), strict=True)], float)
         x, y, do = self.number(e.left), self.number(e.right), _ARITHMETIC[e.op]
         return "num", lambda rows: do(x(rows), y(rows))
 
