@@ -51,8 +51,17 @@ def looks_numeric(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"\A{_BLANK}(?:{_DECIMAL}|{_HEX}|[+-]?(?i:nan|inf|infinity))?{_BLANK}\z"), F.lit(False))
 
 
+def _simple(c: Column) -> Column:
+    """Whether a string is a plain decimal number, which a cast reads as the language does."""
+    return c.rlike(r"\A[+-]?[0-9]{1,300}(?:\.[0-9]{0,300})?\z")
+
+
 def parsed(c: Column) -> Column:
     """The number that a string starts with, or 0."""
+    return F.when(_simple(c), c.try_cast("double")).otherwise(_parsed(c))
+
+
+def _parsed(c: Column) -> Column:
     plain = F.regexp_substr(c, F.lit(rf"\A{_BLANK}{_DECIMAL}"))
     value = F.coalesce(F.trim(F.translate(plain, "\t\n\r\x0b\f", "     ")).try_cast("double"), F.lit(0.0))
     digits = F.regexp_extract(c, rf"\A{_BLANK}([+-]?)0[xX]([0-9a-fA-F]+)", 2)
@@ -101,7 +110,7 @@ def boolean(v: Val) -> Column:
     filled = F.coalesce(v.col, F.lit(""))
     if v.kind == "str":
         return filled != ""
-    return F.when(looks_numeric(v.col), parsed(v.col) != 0).otherwise(filled != "")
+    return F.when(_simple(v.col), v.col.try_cast("double") != 0).when(looks_numeric(v.col), _parsed(v.col) != 0).otherwise(filled != "")
 
 
 def flag(c: Column) -> Val:
@@ -136,9 +145,13 @@ def compared(op: str, a: Val, b: Val) -> Val:
         if a.kind in ("str", "strnum") and b.kind in ("str", "strnum") and op != "!=":
             strings = do(a.col, b.col) if op in ("==", ">") else strings
         return flag(strings).on(a, b)
-    tests = [looks_numeric(v.col) for v in (a, b) if v.kind == "strnum"]
-    numeric = tests[0] if len(tests) == 1 else tests[0] & tests[1]
-    return flag(F.when(numeric, do(_as_number(a), _as_number(b))).otherwise(strings)).on(a, b)
+    inputs = [v.col for v in (a, b) if v.kind == "strnum"]
+    simple, numeric = ([f(c) for c in inputs] for f in (_simple, looks_numeric))
+    if len(inputs) == 2:
+        simple, numeric = [simple[0] & simple[1]], [numeric[0] & numeric[1]]
+    # Plain numbers first, as nearly all input is; the other forms cost several patterns.
+    x, y = (v.col.try_cast("double") if v.kind == "strnum" else _as_number(v) for v in (a, b))
+    return flag(F.when(simple[0], do(x, y)).when(numeric[0], do(_as_number(a), _as_number(b))).otherwise(strings)).on(a, b)
 
 
 def arithmetic(op: str, a: Val, b: Val) -> Val:

@@ -23,7 +23,7 @@ from ..functions.columns import Val
 from ..functions.values import text
 from ..plans import syntax as S
 from ..plans.flow import lasting
-from ..sources.records import CHUNK, NR, POS, Records, split_column
+from ..sources.records import CHUNK, FIELDS, NR, POS, Records, split_column
 from .batched import Batched, Unbatchable
 from .ordered import carried, in_range
 from .sequential import Machine
@@ -132,7 +132,7 @@ def s_body(read: S.Getline, program: S.Program) -> list[S.Node]:
 def _record(records: Records, options: Options, constants: dict) -> Line | Row:
     fs = constants.get("FS") or options.fs or " "
     if records.columns is None:
-        return Line.of(F.col("value"), fs)
+        return Line(F.col("value"), F.col(FIELDS), fs) if FIELDS in records.df.columns else Line.of(F.col("value"), fs)
     values = tuple(records.value(k) for k in range(1, len(records.columns) + 1))
     return Row(values, records, options.ofs or constants.get("OFS") or " ", fs)
 
@@ -142,6 +142,8 @@ def _record(records: Records, options: Options, constants: dict) -> Line | Row:
 
 class Planner:
     def __init__(self, program: S.Program, records: Records, options: Options, constants: dict, loads: dict):
+        if records.columns is None and any(n == S.Var("NF") or (isinstance(n, S.Field) and n.index != S.Num(0.0)) for n in S.walk(program.rules)):
+            records = records.split(constants.get("FS") or options.fs or " ")
         self.program, self.records, self.options, self.constants, self.loads = program, records, options, constants, loads
         #: What END reads.
         self.ends = {n.name for n in S.walk(program.end) if isinstance(n, S.Var)} | {n.array for n in S.walk(program.end) if isinstance(n, (S.Index, S.In, S.ForIn))}

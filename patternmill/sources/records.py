@@ -16,7 +16,7 @@ from ..functions import regexes
 from ..functions.columns import Val, text
 
 CHUNK_ROWS = 1_000_000
-CHUNK, POS, NR = "__chunk", "__pos", "__nr"
+CHUNK, POS, NR, FIELDS = "__chunk", "__pos", "__nr", "__fields"
 
 
 def split_column(value: Column, fs: str) -> Column:
@@ -26,7 +26,8 @@ def split_column(value: Column, fs: str) -> Column:
     if fs == " ":
         trimmed = F.regexp_replace(value, r"\A[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+\z", "")
         return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\r\x0b\f]+", -1))
-    pattern = f"\\Q{fs}\\E" if len(fs) == 1 and fs != "\\" else "\\\\" if fs == "\\" else regexes.translate(fs)
+    # One character, escaped where it means something, is cut without a regular expression.
+    pattern = (fs if fs.isalnum() or not fs.isascii() else f"\\{fs}") if len(fs) == 1 else regexes.translate(fs)
     return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(value, pattern, -1))
 
 
@@ -49,20 +50,15 @@ class Records:
         """Text files in the order of the operands, cut at rs ('' for paragraphs)."""
         parts = []
         for i, path in enumerate([paths] if isinstance(paths, str) else paths):
-            if rs == "":
-                whole = spark.read.option("wholetext", True).text(path)
-                found = F.posexplode(F.split(F.regexp_replace("value", r"\A\n+|\n+\z", ""), "\n\n+", -1))
-                part = whole.select(F.col("_metadata.file_path").alias("__file"), F.lit(0).alias("__block"), found.alias(POS, "value")).filter("value <> ''")
-            else:
-                lines = spark.read.option("lineSep", rs).text(path)
-                value = F.regexp_replace("value", "\r\\z", "") if rs == "\n" else F.col("value")
-                part = lines.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias(POS), value.alias("value"))
+            lines = spark.read.text(path, lineSep=rs or "\n")
+            value = F.regexp_replace("value", "\r\\z", "") if rs == "\n" else F.col("value")
+            part = lines.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias(POS), value.alias("value"))
             chunk = F.format_string("%05d|%s|%015d", F.lit(i), F.col("__file"), F.col("__block").cast("long"))
             parts.append(part.select("value", chunk.alias(CHUNK), F.col(POS).cast("long").alias(POS), F.col("__file")))
         df = parts[0]
         for part in parts[1:]:
             df = df.unionAll(part)
-        return Records(df, None, (F.col(CHUNK), F.col(POS)), F.col("__file"))
+        return Records(df if rs else _paragraphs(df), None, (F.col(CHUNK), F.col(POS)), F.col("__file"))
 
     @staticmethod
     def from_lines(spark: SparkSession, lines: list[str]) -> Records:
@@ -76,6 +72,16 @@ class Records:
         chunk, pos = self.order
         return replace(self, df=self.df.select("*", chunk.alias(CHUNK), pos.alias(POS)))
 
+    def split(self, fs: str) -> Records:
+        """Text with the column __fields.
+
+        A generator of one row a record makes it: filters on fields are not pushed through
+        that, so a line is split once and not again for each time that a field is read.
+        """
+        if FIELDS in self.df.columns:
+            return self
+        return replace(self, df=self.df.select("*", F.inline(F.array(F.struct(split_column(F.col("value"), fs).alias(FIELDS))))))
+
     def numbered(self) -> Records:
         """With __nr, the record's number from 1.
 
@@ -110,6 +116,15 @@ class Records:
         return F.concat_ws(ofs, *[text(v) for v in values])
 
 
+def _paragraphs(lines: DataFrame) -> DataFrame:
+    """Lines joined between empty ones: a paragraph is the lines of a file before which as many empty lines lie."""
+    from ..operators.ordered import carried
+
+    numbered = carried(lines, {"__empty": ("sum", (F.col("value") == "").cast("long"))}).filter("value <> ''")
+    found = numbered.groupBy(F.substring(CHUNK, 1, 5).alias("__operand"), "__file", F.coalesce("__empty", F.lit(0)).alias("__empty")).agg(F.array_sort(F.collect_list(F.struct(CHUNK, POS, "value"))).alias("__lines"))
+    return found.select(F.array_join(F.col("__lines.value"), "\n").alias("value"), F.col("__lines")[0][CHUNK].alias(CHUNK), F.col("__lines")[0][POS].alias(POS), "__file")
+
+
 def _file_order(df: DataFrame) -> tuple[Column, Column]:
     """A table read from files has row numbers in its metadata; any other keeps its partitions' order."""
     try:

@@ -101,6 +101,24 @@ def test_text_files(spark, tmp_path):
     assert sorted(r[0] for r in got) == ["1 c", "2 a"]
 
 
+def test_paragraphs_over_blocks(spark, tmp_path):
+    """Paragraphs are the evaluator's wherever blocks cut a file, and none runs on into the next file."""
+    texts = ["a b\nc\n\n\n\nd", "\n\n\ne f\n\ng\nh\ni\n\n\n", "", "\n", "j"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"t{i}").write_text(t)
+    want = [p for t in texts for p in P.run('BEGIN { RS = "" } { gsub(/\\n/, "/"); print NF, $0 }', t).split("\n")[:-1]]
+    program = P.compile('{ gsub(/\\n/, "/"); print NF, $0 }')
+    for size in ("3", "5", "100"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            own = P.read(spark, [str(tmp_path / f"t{i}") for i in range(len(texts))], P.Config(rs=""))
+            assert sorted(r[0] for r in program.to_df(own).collect()) == sorted(want)
+            first = P.compile("NR == 2 { print $1 }").to_df(own).collect()
+            assert [r[0] for r in first] == ["d"]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     """Predicates and columns are pushed to Parquet."""
     df = Q.QUERIES["filter_num"](spark, sf_dir)
@@ -169,7 +187,7 @@ def test_what_lasts():
         ("$1 { x = 1 } { print x }", {"x"}),
         ("{ if ($1) x = 1; else x = 2; print x }", set()),
         ("{ if ($1) x = 1; else next; print x }", set()),
-        ("{ $1 && x = 1; print x }", {"x"}),
+        ("{ $1 && (x = 1); print x }", {"x"}),
         ("{ n = split($0, a); for (i = 1; i <= n; i++) print a[i] }", set()),
         ("{ a[$1] = 1; print length(a) }", {"a"}),
         ("function f(y) { z += y; return z } { print f($1) }", {"z"}),
