@@ -73,7 +73,7 @@ class Machine:
     def __init__(self, program: S.Program, fs: str | None = None, rs: str | None = None, ofs: str | None = None, ors: str | None = None, variables: dict | None = None, args: list[str] | None = None, posix: bool = False, allow_shell: bool = False, allow_files: bool = True, structured: bool = False):
         self.program = program
         self.arrays_global, self.array_params = arrays_of(program)
-        self.g: dict[str, object] = {"FS": fs if fs is not None else " ", "RS": rs if rs is not None else "\n", "OFS": ofs if ofs is not None else " ", "ORS": ors if ors is not None else "\n", "SUBSEP": "\x1c", "CONVFMT": "%.6g", "OFMT": "%.6g", "RSTART": 0.0, "RLENGTH": -1.0, "NR": 0.0, "FNR": 0.0, "FILENAME": ""}
+        self.g: dict[str, object] = {"FS": fs if fs is not None else " ", "RS": rs if rs is not None else "\n", "OFS": ofs if ofs is not None else " ", "ORS": ors if ors is not None else "\n", "SUBSEP": "\x1c", "CONVFMT": "%.6g", "OFMT": "%.6g", "RSTART": 0.0, "RLENGTH": 0.0, "NR": 0.0, "FNR": 0.0, "FILENAME": ""}
         self.arrays: dict[str, dict[str, object]] = {name: {} for name in self.arrays_global}
         args = ["patternmill", *(args or [])]
         self.g["ARGC"] = float(len(args))
@@ -450,6 +450,27 @@ class Machine:
         index_of = self.expr(target.index)
         return lambda v: self.set_field(int(num(index_of())), v)
 
+    def place(self, target: S.Node) -> Callable[[], tuple[Callable[[], object], Callable[[object], None]]]:
+        """Where an updated value stands: its reader and writer, with the subscript evaluated once."""
+        if isinstance(target, S.Index):
+            array, key = self.array(target.array), self.key(target.keys)
+
+            def item():
+                own, k = array(), key()
+                return lambda: own.setdefault(k, ""), lambda v: own.__setitem__(k, v)
+
+            return item
+        if isinstance(target, S.Field) and not isinstance(target.index, S.Num):
+            at = self.expr(target.index)
+
+            def field():
+                k = int(num(at()))
+                return lambda: self.field(k), lambda v: self.set_field(k, v)
+
+            return field
+        fixed = self.expr(target), self.setter(target)
+        return lambda: fixed
+
     # -- expressions
 
     def test(self, e: S.Node) -> Callable[[], bool]:
@@ -548,8 +569,9 @@ class Machine:
         return lambda: yes() if test() else no()
 
     def _assign(self, e: S.Assign):
-        value, put = self.expr(e.value), self.setter(e.target)
+        value = self.expr(e.value)
         if e.op == "=":
+            put = self.setter(e.target)
 
             def assign():
                 v = value()
@@ -557,10 +579,11 @@ class Machine:
                 return v
 
             return assign
-        old, do = self.expr(e.target), ARITHMETIC[e.op[0]]
+        place, do = self.place(e.target), ARITHMETIC[e.op[0]]
 
         def augment() -> float:
             x = num(value())
+            old, put = place()
             v = do(num(old()), x)
             put(v)
             return v
@@ -568,9 +591,10 @@ class Machine:
         return augment
 
     def _step(self, e: S.Step):
-        old, put, by, pre = self.expr(e.target), self.setter(e.target), 1.0 if e.op == "++" else -1.0, e.pre
+        place, by, pre = self.place(e.target), 1.0 if e.op == "++" else -1.0, e.pre
 
         def step() -> float:
+            old, put = place()
             x = num(old())
             put(x + by)
             return x + by if pre else x
@@ -773,11 +797,11 @@ class Machine:
 
     def _replace(self, args, every: bool):
         pattern, by = self.matcher(args[0]), self.expr(args[1])
-        target = args[2] if len(args) > 2 else S.Field(S.Num(0.0))
-        old, put = self.expr(target), self.setter(target)
+        place = self.place(args[2] if len(args) > 2 else S.Field(S.Num(0.0)))
 
         def run() -> float:
             p, template = pattern(), text(by(), self.g["CONVFMT"])
+            old, put = place()
             s = text(old(), self.g["CONVFMT"])
             n, out = substitute(p, template, s, every) if p is not None else (0, s)
             put(str(out))

@@ -359,6 +359,8 @@ class Symbolic:
 
     def keys(self, nodes: tuple[S.Node, ...]) -> tuple[Val, ...]:
         """Subscripts; a key joined by SUBSEP is several."""
+        if any(isinstance(n, (S.Assign, S.Step)) for n in S.walk(nodes)):
+            raise Unplannable("a subscript changes a variable")
         out: list[Val] = []
         for n in nodes:
             parts = self.pieces(S.strip(n))
@@ -473,6 +475,8 @@ class Symbolic:
         return C.number(e.value)
 
     def _str(self, e, guard):
+        if any("\udc80" <= c <= "\udcff" for c in e.value):
+            raise Unplannable("a string holds bytes that are no character")
         return C.string(e.value)
 
     def _regex(self, e, guard):

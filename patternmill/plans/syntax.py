@@ -269,13 +269,13 @@ def unescape(text: str) -> str:
     """A string literal's value."""
 
     def one(m: re.Match) -> str:
-        if m[1]:
-            return chr(int(m[1], 8) & 255)
-        if m[2]:
-            return chr(int(m[2], 16))
+        if m[1] or m[2]:
+            byte = int(m[1], 8) & 255 if m[1] else int(m[2], 16)
+            return chr(byte if byte < 128 else 0xDC00 + byte)
         return _ESCAPES.get(m[3], m[3]) if m[3] else "\\"
 
-    return _ESCAPE.sub(one, text)
+    # A byte over 127 stands as a surrogate unless it is part of a character.
+    return _ESCAPE.sub(one, text).encode("utf-8", "surrogateescape").decode("utf-8", "surrogateescape")
 
 
 @dataclass
@@ -546,7 +546,7 @@ class Parser:
             name = self.name()
             keys = None
             if self.takes("["):
-                keys = self.list("]")
+                keys = self.subscripts()
             return Delete(name, keys)
         return Expr(self.expr())
 
@@ -705,6 +705,12 @@ class Parser:
         self.no_in, self.no_gt = before
         return tuple(items)
 
+    def subscripts(self) -> tuple[Node, ...]:
+        keys = self.list("]")
+        if not keys:
+            raise self.fail("a subscript is missing")
+        return keys
+
     def primary(self) -> Node:
         t = self.now
         self.at += 1
@@ -716,7 +722,7 @@ class Parser:
             return Regex(t.text)
         if t.kind == "name":
             if self.takes("["):
-                return Index(t.text, self.list("]"))
+                return Index(t.text, self.subscripts())
             return Var(t.text)
         if t.kind == "function":
             self.must("(")
@@ -728,7 +734,8 @@ class Parser:
                 return Field(Step(op, self.primary(), True))
             if op := self.takes("-", "+", "!"):
                 return Field(Unary(op, self.primary()))
-            return Field(self.primary())
+            # In $$0++ the step belongs to the inner field, in $i++ to the outer one.
+            return Field(self.stepped() if self.sees("$") else self.primary())
         if t.text == "(" and t.kind == "op":
             items = self.list(")")
             if not items:

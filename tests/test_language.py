@@ -5,6 +5,15 @@ import pytest
 import patternmill as P
 
 CASES = [
+    ("BEGIN { a[i++]++; print i, a[0], length(a) }", "", "1 1 1\n"),
+    ("BEGIN { a[i++] += 7; a[i++] -= 2; print i, a[0], a[1] }", "", "2 7 -2\n"),
+    ("{ $(k++)++; print k }", "4 5\n", "1\n"),
+    ("{ $(k += 1) *= 3; print k, $0 }", "4 5\n", "1 12 5\n"),
+    ('{ n = sub(/b/, "c", a[i++]); print i, n }', "x\n", "1 0\n"),
+    ("{ $$0++; print }", "3 8 9\n", "4\n"),
+    ("{ $i++; print; print i + 0 }", "3 8\n", "4\n0\n"),
+    ("BEGIN { print RSTART, RLENGTH; RSTART = 3; RLENGTH = 9; print RSTART, RLENGTH }", "", "0 0\n3 9\n"),
+    (r'BEGIN { print "\303\251" == "é", length("\xe9"), length("\777"), length("\x41\377") }', "", "1 1 1 2\n"),
     ("{ print $2 }", "a b\nc d\n", "b\nd\n"),
     ("{ s += $1 } END { print s, s / NR }", "1\n2\n4\n", "7 2.33333\n"),
     ("!seen[$0]++", "a\nb\na\n", "a\nb\n"),
@@ -112,7 +121,7 @@ def test_run_errors(program):
         P.run(program, "")
 
 
-@pytest.mark.parametrize("program", ["{ print", "BEGIN", "{ next } END { next }", "function f(a, a) { }", "{ print 1 + }", "{ break }", "{ return 1 }", "BEGIN { /x }", '{ print "a }', "{ substr(1) }", "{ sub(/a/, \"b\", 3) }"])
+@pytest.mark.parametrize("program", ["{ print", "BEGIN", "{ next } END { next }", "function f(a, a) { }", "{ print 1 + }", "{ break }", "{ return 1 }", "BEGIN { /x }", '{ print "a }', "{ substr(1) }", "{ sub(/a/, \"b\", 3) }", "BEGIN { a[] }", "BEGIN { delete a[] }"])
 def test_parse_errors(program):
     with pytest.raises(P.ParseError):
         P.compile(program)
