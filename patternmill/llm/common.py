@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the session names in spark.checkpoint.dir.
-
-    The setting is only made here where the session has none, which is the case in tests
-    on a local master; a cluster without a shared folder is an error, not a reason to
-    write to one machine's disk.
-    """
+    """A fresh path below the shared folder that the session names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "patternmill-scratch")
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,4 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     # Shuffle files of the finished job go once the driver has collected its garbage.
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whichever store it lies."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

@@ -7,16 +7,22 @@ start at anchors, about one position in eighty.
 
 1. Anchors whose gram is unique in the corpus cannot lie in a repeated string and go.
 2. An anchor's context is all that a SPAN-byte string around its gram can reach. Where two
-   places have one context (compared by 64-bit hash, as are grams), all of it is repeated.
+   places have one context (compared by 128-bit hash), all of it is repeated.
 3. What is left are anchors with the same gram in different contexts, where a repeated
    passage begins or ends. Their suffixes are range-partitioned by their leading bytes with
-   sampled splitters, sorted inside each bucket by multikey quicksort, and neighbours that
-   share a gram form a run. In a run every string around the gram is compared by the hashes
-   of its part before and its part from the anchor. The splitters keep runs of up to RUN
-   contexts whole; longer ones are cut by the bytes that follow, over as many buckets as
-   they need, and their strings are compared across boundaries by a shuffle on the hashes.
-4. Each text's repeated parts are joined and cut out.
-
+   sampled splitters and sorted inside each bucket by multikey quicksort; neighbours that
+   share a gram form a run. A string around an anchor is its part before and its part from
+   the anchor on; for each anchor of a run the first and the last of its strings that
+   another anchor of the run has too are found by hashes and confirmed on the bytes.
+4. Runs at a bucket's ends may go on in other buckets, however long they are. Two anchors
+   in different buckets share no more bytes behind the anchor than each shares with the end
+   of its own bucket. So the runs at the ends are dealt out once more, by the bytes before
+   the anchor, and compared in those buckets. Anchors that are apart in both orders share
+   at most what each shares with the ends of both of its buckets: only strings within those
+   bounds that could extend what was found are asked for, by a shuffle of their hashes.
+5. Each text's repeated parts are joined and cut out.
+
+Every anchor gives one row, not one for each string or partner, so rows grow with the input.
 Texts that occur more than once are repeated as a whole; one copy stands for all.
 """
 
@@ -27,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 #: Bytes of a string that must not repeat, and of the grams that anchors are chosen by.
 SPAN = 200
@@ -38,9 +45,7 @@ GRAM = 40
 WINDOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
 #: Suffixes in a bucket, about.
-BUCKET = 40_000
-#: Contexts of one gram that are kept in one bucket.
-RUN = 4000
+BUCKET = 20_000
 
 _rng = np.random.default_rng(23)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -71,10 +76,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of a text's anchors, and the hashes of their grams and contexts."""
+    """Positions of a text's anchors, the hashes of their grams, and two columns of hashes of their contexts."""
     n = len(data)
     if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     _powers.need(n + 1)
     x = np.frombuffer(data, np.uint8)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[x] * _powers.up[:n], dtype=np.uint64)])
@@ -91,10 +96,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least = np.minimum(behind[:windows], ahead[WINDOW - 1 : WINDOW - 1 + windows])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    start, end = np.maximum(at - REACH, 0), np.minimum(at + SPAN, n)
-    context = (sums[end] - sums[start]) * _powers.down[start]
-    context = _mix(context ^ ((at - start) * 1000 + (end - at)).astype(np.uint64) * _MIX)
-    return at, grams[at], context
+    digests = [xxhash.xxh3_128_digest(data[max(0, p - REACH) : p + SPAN], min(p, REACH)) for p in at.tolist()]
+    return at, grams[at], np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
@@ -102,49 +105,44 @@ def _anchored(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in range(0, batch.num_rows, 512):
                 part = batch.slice(piece, 512)
-                sizes, digests, grams, contexts, places = [], [], [], [], []
+                columns: tuple[list, ...] = ([], [], [], [], [], [])
                 for text in part.column(2):
                     data = text.as_buffer().to_pybytes()
                     at, gram, context = anchors(data)
-                    sizes.append(len(data))
-                    digests.append(hashlib.sha256(data).hexdigest())
-                    places.append(at.astype(np.int32))
-                    grams.append(gram.view(np.int64))
-                    contexts.append(context.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), pa.array(contexts, pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_bytes", "sha256", "at", "gram", "context"],
-                )
+                    own = (len(data), hashlib.sha256(data).hexdigest(), at.astype(np.int32), gram.view(np.int64), context[:, 0].view(np.int64), context[:, 1].view(np.int64))
+                    for c, v in zip(columns, own, strict=True):
+                        c.append(v)
+                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["doc_id", "node", "n_bytes", "sha256", "at", "gram", "c1", "c2"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_bytes long, sha256 string, at array<int>, gram array<long>, context array<long>")
+    return docs.mapInArrow(run, "doc_id long, node binary, n_bytes long, sha256 string, at array<int>, gram array<long>, c1 array<long>, c2 array<long>")
 
 
 def _suffixes(marked: DataFrame) -> DataFrame:
-    """(suffix, before, node, at, long) for the wanted anchors of each text."""
+    """(suffix, before, node, at) for the wanted anchors of each text; before is reversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for node, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for x in wanted.as_py():
-                    at = x["at"]
+                for at in wanted.as_py():
                     out[0].append(data[at : at + SPAN])
                     out[1].append(data[max(0, at - REACH) : at][::-1])
                     out[2].append(node.as_py())
                     out[3].append(at)
-                    out[4].append(x["long"])
-                if len(out[0]) > 20_000:
-                    yield _suffix_rows(out)
-                    out = ([], [], [], [], [])
+                    if len(out[0]) > 20_000:
+                        yield _suffix_rows(out)
+                        out = ([], [], [], [])
             yield _suffix_rows(out)
 
-    return marked.mapInArrow(run, "suffix binary, before binary, node long, at int, long boolean")
+    return marked.mapInArrow(run, "suffix binary, before binary, node binary, at int")
 
 
 def _suffix_rows(out: tuple) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["suffix", "before", "node", "at", "long"])
+    kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["suffix", "before", "node", "at"])
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -169,97 +167,168 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def _with_half(suffixes: DataFrame) -> DataFrame:
-    """Without those suffixes of long runs that no string can share.
-
-    A string around a gram has half of its other bytes on one side at least, so two places
-    share one only if they share that half before the gram or that half after it.
-    """
-    long = suffixes.filter("long")
-    after = F.xxhash64(F.substring("suffix", 1, GRAM + REACH // 2))
-    ahead = F.xxhash64(F.substring("before", 1, REACH // 2), F.substring("suffix", 1, GRAM))
-    long = long.select("*", after.alias("after"), ahead.alias("ahead"))
-    for side in ("after", "ahead"):
-        shared = long.groupBy(side).agg((F.count(F.lit(1)) > 1).alias(f"by_{side}"))
-        long = long.join(shared, side)
-    return suffixes.filter("not long").unionByName(long.filter("by_after or by_ahead").select(*suffixes.columns))
-
-
 def _padded(column: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(x) for x in column], np.int64)
     out = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in column), np.uint8).reshape(len(column), size)
     return out, lengths
 
 
-def _string_hashes(suffix: np.ndarray, suffix_size: np.ndarray, before: np.ndarray, before_size: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Places:
+    """Anchors as arrays: the bytes from each on, those before it (reversed), and both lengths."""
+
+    def __init__(self, suffix: np.ndarray, suffix_size: np.ndarray, before: np.ndarray, before_size: np.ndarray):
+        self.suffix, self.suffix_size, self.before, self.before_size = suffix, suffix_size, before, before_size
+
+    def __len__(self) -> int:
+        return len(self.suffix)
+
+    def __getitem__(self, rows) -> _Places:
+        return _Places(self.suffix[rows], self.suffix_size[rows], self.before[rows], self.before_size[rows])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.ascontiguousarray(x).view(">u8").astype(np.uint64) for x in (self.suffix, self.before))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bytes the rows of a share with those of b."""
+    differs = a != b
+    return np.where(differs.any(1), differs.argmax(1), a.shape[1])
+
+
+def _string_hashes(p: _Places, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each row and each count 0..REACH of bytes before the anchor, and which strings lie in the text."""
-    n = len(suffix)
-    left, right = np.zeros((n, REACH + 1), np.uint64), np.zeros((n, REACH + 1), np.uint64)
+    left, right = np.zeros((len(p), REACH + 1), np.uint64), np.zeros((len(p), REACH + 1), np.uint64)
     for i in range(REACH):
-        left[:, i + 1] = (left[:, i] + _BYTE[before[:, i]]) * np.uint64(_BASE)
-        right[:, i + 1] = (right[:, i] + _BYTE[suffix[:, GRAM + i]]) * np.uint64(_INVERSE)
+        left[:, i + 1] = (left[:, i] + _BYTE[p.before[:, i]]) * np.uint64(_BASE)
+        right[:, i + 1] = (right[:, i] + _BYTE[p.suffix[:, GRAM + i]]) * np.uint64(_INVERSE)
     o = np.arange(REACH + 1)
-    fits = (o <= before_size[:, None]) & (SPAN - o <= suffix_size[:, None])
+    fits = (o <= p.before_size[:, None]) & (SPAN - o <= p.suffix_size[:, None])
     return _mix(_mix(left + o.astype(np.uint64) * _MIX) + right[:, ::-1] * _MIX + run[:, None]), fits
 
 
-def _resolve(suffixes: DataFrame, buckets: int) -> DataFrame:
-    """(node, start, end) of repeated parts, and (node, at, before, key) of strings in runs that are cut."""
+def repeated_strings(p: _Places, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the most and the least bytes before it in a string that its run has twice; -1 and SPAN for none.
+
+    run numbers the runs. Hashes name the candidates; the two that count are compared byte by byte.
+    """
+    n = len(p)
+    keys, fits = _string_hashes(p, run.astype(np.uint64) * _MIX)
+    flat = np.flatnonzero(fits)
+    flat = flat[np.argsort(keys.ravel()[flat])]
+    ranked = keys.ravel()[flat]
+    same = ranked[1:] == ranked[:-1]
+    partner = np.full(n * (REACH + 1), -1, np.int32)
+    partner[flat[1:][same]] = flat[:-1][same] // (REACH + 1)
+    partner[flat[:-1][same]] = flat[1:][same] // (REACH + 1)
+    partner = partner.reshape(n, REACH + 1)
+    twin = partner >= 0
+    some = twin.any(1)
+    most = np.where(some, REACH - twin[:, ::-1].argmax(1), -1)
+    least = np.where(some, twin.argmax(1), SPAN)
+    rows = np.flatnonzero(some)
+    wrong = np.zeros(n, bool)
+    for o in (most, least):
+        there = partner[rows, o[rows]]
+        own, other = p[rows], p[there]
+        wrong[rows] |= (there == rows) | (_common(own.before, other.before) < o[rows]) | (_common(own.suffix, other.suffix) < SPAN - o[rows])
+    for i in np.flatnonzero(wrong).tolist():  # two strings with one hash: compare the anchor with its whole run
+        others = np.flatnonzero(run == run[i])
+        others = others[others != i]
+        own, other = p[np.full(len(others), i)], p[others]
+        ahead = np.minimum(np.minimum(_common(own.before, other.before), own.before_size), other.before_size)
+        after = np.minimum(np.minimum(_common(own.suffix, other.suffix), own.suffix_size), other.suffix_size)
+        holds = ahead + after >= SPAN
+        most[i] = ahead[holds].max() if holds.any() else -1
+        least[i] = (SPAN - after[holds]).min() if holds.any() else SPAN
+    return most, least
+
+
+_FOUND = "node binary, at int, most int, least int, reach int, ahead int, suffix binary, before binary"
+
+
+def _resolve(suffixes: DataFrame, buckets: int, by_before: bool) -> DataFrame:
+    """What is repeated around each anchor: node, at, most and least; reach and ahead are -1 where that is final.
+
+    Else the anchor's run may go on in other buckets, with anchors that share at most `reach`
+    bytes behind the anchor, or `ahead` bytes before it when dealt out by_before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if not found:  # a bucket that no suffix fell in
             return
-        table = pa.Table.from_batches(found)
-        suffix, suffix_size = _padded(table.column("suffix").to_pylist(), SPAN)
-        before, before_size = _padded(table.column("before").to_pylist(), REACH)
-        node, at = table.column("node").to_numpy(), table.column("at").to_numpy().astype(np.int64)
-        edge = np.array(table.column("long"))
-        words = np.ascontiguousarray(suffix).view(">u8").astype(np.uint64)
-        order = multikey_quicksort(words)
-        suffix, suffix_size, before, before_size, node, at, words, edge = (x[order] for x in (suffix, suffix_size, before, before_size, node, at, words, edge))
-        new = np.concatenate([[True], (words[1:, : GRAM // 8] != words[:-1, : GRAM // 8]).any(1)])
-        # The gram's own hash names a run, so that its parts in several buckets have one name.
-        name = np.zeros(len(words), np.uint64)
-        for i in range(GRAM // 8):
-            name = _mix((name + words[:, i]) * _MIX)
-        starts = np.flatnonzero(new)
+        table = pa.Table.from_batches(found).combine_chunks()
+        p = _Places(*_padded(table.column("suffix").to_pylist(), SPAN), *_padded(table.column("before").to_pylist(), REACH))
+        after, ahead = p.words()
+        gram = GRAM // 8
+        order = multikey_quicksort(np.concatenate([after[:, :gram], ahead, after[:, gram:]], 1) if by_before else np.concatenate([after, ahead], 1))
+        p, after = p[order], after[order]
+        new = np.concatenate([[True], (after[1:, :gram] != after[:-1, :gram]).any(1)])
+        runs = np.cumsum(new)
+        most, least = np.full(len(p), -1), np.full(len(p), SPAN)
         cuts = [0]
-        for s in starts[1:].tolist():  # whole runs, some thousand rows at a time
+        for s in np.flatnonzero(new)[1:].tolist():  # whole runs, some thousand rows at a time
             if s - cuts[-1] > 4000:
                 cuts.append(s)
-        for low, high in zip(cuts, [*cuts[1:], len(words)], strict=True):
-            own = slice(low, high)
-            keys, fits = _string_hashes(suffix[own], suffix_size[own], before[own], before_size[own], name[own])
-            open_ = edge[own]
-            row, o = np.nonzero(fits & open_[:, None])
-            if len(row):
-                for piece in range(0, len(row), 200_000):
-                    r, b = row[piece : piece + 200_000], o[piece : piece + 200_000]
-                    nothing = np.full(len(r), -1)
-                    yield _resolved(node[own][r], at[own][r], nothing, nothing, b, keys[r, b])
-            keys = keys[~open_]
-            flat = np.flatnonzero(fits[~open_])
-            rank = np.argsort(keys.ravel()[flat], kind="stable")
-            ranked = keys.ravel()[flat][rank]
-            twin = np.zeros(len(ranked) + 1, bool)
-            twin[1:-1] = ranked[1:] == ranked[:-1]
-            repeated = np.zeros(keys.size, bool)
-            repeated[flat[rank]] = twin[1:] | twin[:-1]
-            repeated = repeated.reshape(keys.shape)
-            some = repeated.any(1)
-            most, least = REACH - repeated[:, ::-1].argmax(1), repeated.argmax(1)
-            a = at[own][~open_]
-            nothing = np.full(int(some.sum()), -1)
-            yield _resolved(node[own][~open_][some], a[some], (a - most)[some], (a - least + SPAN)[some], nothing, nothing)
-
-    rest = [F.when(F.col("long"), F.col(c)) for c in ("suffix", "before")]
-    return suffixes.repartitionByRange(buckets, F.substring("suffix", 1, GRAM), *rest).mapInArrow(run, "node long, at int, start int, end int, before int, key long")
-
-
-def _resolved(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [np.int64, np.int32, np.int32, np.int32, np.int32, np.int64]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], names=["node", "at", "start", "end", "before", "key"])
+        for low, high in zip(cuts, [*cuts[1:], len(p)], strict=True):
+            most[low:high], least[low:high] = repeated_strings(p[low:high], runs[low:high])
+        bound = np.full(len(p), -1)
+        side = p.before if by_before else p.suffix
+        for edge in (0, len(p) - 1) if buckets > 1 else ():
+            own = np.flatnonzero(runs == runs[edge])
+            bound[own] = np.maximum(bound[own], _common(side[own], side[np.full(len(own), edge)]))
+        table = table.take(pa.array(order))
+        reach = np.full(len(p), -1)
+        if by_before:
+            reach = table.column("reach").to_numpy()
+            most = np.maximum(most, table.column("most").to_numpy())
+            least = np.minimum(least, table.column("least").to_numpy())
+        open_ = bound >= 0
+        numbers = [most, least, np.where(open_, reach if by_before else bound, -1), np.where(open_ & by_before, bound, -1)]
+        out = [table.column("node"), table.column("at"), *[pa.array(x.astype(np.int32)) for x in numbers]]
+        for name in ("suffix", "before"):  # bytes go on only with what is open
+            column = table.column(name)
+            out.append(pa.array([v if o else None for v, o in zip(column.to_pylist(), open_.tolist(), strict=True)], pa.binary()))
+        names = ["node", "at", "most", "least", "reach", "ahead", "suffix", "before"]
+        yield from pa.table(out, names=names).filter(pa.array(open_ | (most >= 0))).to_batches(max_chunksize=10_000)
+
+    by = (F.substring("suffix", 1, GRAM), "before", "suffix") if by_before else ("suffix", "before")
+    return suffixes.repartitionByRange(buckets, *by).mapInArrow(run, _FOUND)
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """(node, at, o, d1, d2) for the strings with o bytes before the anchor, of those that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for node, at, suffix, before, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for o in wanted:
+                    if o <= len(before) and SPAN - o <= len(suffix):
+                        for c, v in zip(out, (node, at, o, xxhash.xxh3_128_digest(before[:o] + suffix[: SPAN - o], o)), strict=True):
+                            c.append(v)
+            hashes = np.frombuffer(b"".join(out[3]), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], names=["node", "at", "o", "d1", "d2"])
+
+    return rows.select("node", "at", "suffix", "before", "wanted").mapInArrow(run, "node binary, at int, o int, d1 long, d2 long")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """(node, at, most, least) of strings shared by anchors that are apart in both orders."""
+    low, high = F.greatest(F.lit(SPAN) - F.col("reach"), F.lit(0)), F.least(F.col("ahead"), F.lit(REACH))
+    within = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("name", F.xxhash64(F.substring("suffix", 1, GRAM))).withColumn("within", within)
+    extends = F.filter("within", lambda o: (o > F.col("most")) | (o < F.col("least")))
+    # At most REACH + 1 counts are asked for in a run, whoever asks.
+    asked = rows.select("name", F.explode(extends).alias("o")).distinct().groupBy("name").agg(F.collect_list("o").alias("asked"))
+    wanted = rows.join(asked, "name").withColumn("wanted", F.array_intersect("within", "asked")).filter(F.size("wanted") > 0)
+    strings = stored(_digests(wanted), "suffix-asked")
+    twins = strings.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
+    return strings.join(twins, ["d1", "d2"]).groupBy("node", "at").agg(F.max("o").alias("most"), F.min("o").alias("least"))
+
+
+def _buckets(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BUCKET))
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -294,38 +363,40 @@ def repeated_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Texts that occur in several rows are marked by copies > 1 and have no parts: all of them is repeated.
     """
     rows = stored(_anchored(docs), "suffix-anchors")
-    every = rows.select("node", F.explode(F.arrays_zip("at", "gram", "context")).alias("x")).select("node", "x.at", "x.gram", "x.context")
+    every = rows.select("node", F.explode(F.arrays_zip("at", "gram", "c1", "c2")).alias("x")).select("node", "x.at", "x.gram", "x.c1", "x.c2")
     # Stored, so that the join deals out both sides anew and can split a hot gram.
     shared = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "suffix-grams")
     again = stored(every.join(shared, "gram"), "suffix-shared")
+    release(shared)
     # Copies of a text repeat its anchors; only different places count.
-    contexts = again.groupBy("gram", "context").agg(F.min("node").alias("low"), ((F.min("node") != F.max("node")) | (F.min("at") != F.max("at"))).alias("twice"))
+    contexts = again.groupBy("gram", "c1", "c2").agg(F.min("node").alias("low"), ((F.min("node") != F.max("node")) | (F.min("at") != F.max("at"))).alias("twice"))
     contexts = stored(contexts, "suffix-contexts")
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several"), (F.col("n") > RUN).alias("long"))
-    several = stored(several, "suffix-several")
+    several = stored(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "suffix-several")
     judged = stored(contexts.join(several, "gram", "left").filter("twice or several"), "suffix-judged")
-    marks = again.join(judged, ["gram", "context"]).select(
-        "node", "at", "twice", (F.coalesce("several", F.lit(False)) & (F.col("node") == F.col("low"))).alias("wanted"), F.coalesce("long", F.lit(False)).alias("long")
-    )
+    release(contexts, several)
+    marks = again.join(judged, ["gram", "c1", "c2"]).select("node", "at", "twice", (F.coalesce("several", F.lit(False)) & (F.col("node") == F.col("low"))).alias("wanted"))
     marks = stored(marks.filter("twice or wanted").distinct(), "suffix-marks")
+    release(again, judged)
 
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
-    wanted = marks.filter("wanted").groupBy("node").agg(F.collect_list(F.struct("at", "long")).alias("at")).join(copies, "node").select("node", "at", "first")
+    wanted = marks.filter("wanted").groupBy("node").agg(F.collect_list("at").alias("at")).join(copies, "node").select("node", "at", "first")
     texts = docs.join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text", "at")
     suffixes = stored(_suffixes(texts), "suffix-rows")
-    suffixes = _with_half(suffixes)
-    buckets = max(1, -(-suffixes.count() // BUCKET))
-    found = stored(_resolve(suffixes, buckets), "suffix-found")
-    keys = found.filter("before >= 0").select("node", "at", "before", "key")
-    twins = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    edge = keys.join(twins, "key").groupBy("node", "at").agg(F.max("before").alias("most"), F.min("before").alias("least"))
+    found = stored(_resolve(suffixes, _buckets(suffixes), False), "suffix-found")
+    release(suffixes)
+    edges = found.filter("reach >= 0")
+    further = stored(_resolve(edges, _buckets(edges), True), "suffix-edges")
     parts = (
-        marks.filter("twice").select("node", (F.col("at") - REACH).alias("start"), (F.col("at") + SPAN).alias("end"))
-        .union(found.filter("before < 0").select("node", "start", "end"))
-        .union(edge.select("node", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + SPAN).alias("end")))
+        found.filter("reach < 0").select("node", "at", "most", "least")
+        .unionByName(further.filter("most >= 0").select("node", "at", "most", "least"))
+        .unionByName(_apart(further.filter("ahead >= 0")))
+        .select("node", (F.col("at") - F.col("most")).alias("start"), (F.col("at") - F.col("least") + SPAN).alias("end"))
+        .unionByName(marks.filter("twice").select("node", (F.col("at") - REACH).alias("start"), (F.col("at") + SPAN).alias("end")))
     )
     single = copies.filter("copies = 1").select("node")
-    return rows.join(copies.select("node", "copies"), "node"), parts.join(single, "node", "left_semi").groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    parts = stored(parts.join(single, "node", "left_semi").groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("parts")), "suffix-parts")
+    release(found, further, marks)
+    return rows.join(copies.select("node", "copies"), "node"), parts
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,13 +404,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte covered by a SPAN-byte string that also starts elsewhere, in any row or the
     same one, is removed; strings never cross rows and are judged on the input. A null text
-    counts as empty. Rows that repeat an id and text are copies of each other. Other columns
-    are ignored.
+    counts as empty, a null id stays null. Rows that repeat an id and text are copies of each
+    other. Texts are told apart by 128-bit hashes. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     rows, parts = repeated_parts(docs)
-    parts = stored(parts, "suffix-parts")
     cut = _cut(docs.join(parts, "node").select("doc_id", "text", "parts"))
     rest = rows.join(parts.select("node"), "node", "left_anti")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)

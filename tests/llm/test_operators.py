@@ -139,9 +139,10 @@ def test_suffixes(docs, none, texts):
     for d in data:
         for i in range(len(d) - 199):
             seen[d[i : i + 200]] = seen.get(d[i : i + 200], 0) + 1
-    for run, bucket in ((suffix_dedup.RUN, suffix_dedup.BUCKET), (1, 20)):
-        suffix_dedup.RUN, suffix_dedup.BUCKET = run, bucket
+    for bucket in (suffix_dedup.BUCKET, 20):
+        held, suffix_dedup.BUCKET = suffix_dedup.BUCKET, bucket
         rows = by_id(suffix_dedup.remove_repeats(docs))
+        suffix_dedup.BUCKET = held
         for i, d in enumerate(data):
             gone = bytearray(len(d))
             for k in range(len(d) - 199):
@@ -150,10 +151,52 @@ def test_suffixes(docs, none, texts):
             kept = bytes(c for c, g in zip(d, gone) if not g)
             spans = sum(1 for k in range(len(d)) if gone[k] and (k == 0 or not gone[k - 1]))
             assert (rows[i]["n_bytes"], rows[i]["n_removed"], rows[i]["n_spans"], rows[i]["kept_sha256"]) == (len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    suffix_dedup.RUN, suffix_dedup.BUCKET = 4000, 40_000
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("length", [215, 280, 500])
+def test_suffix_runs_over_many_buckets(spark, length):
+    """One passage in 1,500 texts whose surroundings differ, in few letters so that chance extends matches: a run over 50 buckets."""
+    rng = random.Random(length)
+    passage = "".join(rng.choices("abcdefgh", k=length))
+    near = [passage[:k] + "".join(rng.choices("xy", k=8)) + passage[k:] for k in range(20, length, 37)]
+    texts = ["".join(rng.choices("xy", k=rng.randint(0, 30))) + rng.choice([passage] * 6 + near) + "".join(rng.choices("xy", k=rng.randint(0, 30))) for _ in range(1500)]
+    data = [t.encode() for t in texts]
+    seen = {}
+    for d in data:
+        for i in range(len(d) - 199):
+            seen[d[i : i + 200]] = seen.get(d[i : i + 200], 0) + 1
+    held, suffix_dedup.BUCKET = suffix_dedup.BUCKET, 60
+    rows = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    suffix_dedup.BUCKET = held
+    for i, d in enumerate(data):
+        gone = bytearray(len(d))
+        for k in range(len(d) - 199):
+            if seen[d[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        kept = bytes(c for c, g in zip(d, gone) if not g)
+        assert (rows[i]["n_removed"], rows[i]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept).hexdigest()), i
+
+
+def test_strings_with_one_hash(monkeypatch):
+    """Where hashes say nothing, bytes decide."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 99, 500).astype(np.uint8).tobytes()
+    places = [base[i : i + 360] for i in (0, 7, 30)] + [base[:300] + b"z" * 60, b"y" * 100 + base[100:360], base[:360]]
+    p = suffix_dedup._Places(*suffix_dedup._padded([x[160:] for x in places], 200), *suffix_dedup._padded([x[:160][::-1] for x in places], 160))
+    run = np.zeros(len(places), np.int64)
+    want = suffix_dedup.repeated_strings(p, run)
+    hashes = suffix_dedup._string_hashes
+
+    def blind(p, run):
+        keys, fits = hashes(p, run)
+        return keys % np.uint64(3), fits
+
+    monkeypatch.setattr(suffix_dedup, "_string_hashes", blind)
+    got = suffix_dedup.repeated_strings(p, run)
+    assert want[0].tolist() == got[0].tolist() and want[1].tolist() == got[1].tolist() and want[0].max() == 160
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 4, (3000, 5)).astype(np.uint64)
