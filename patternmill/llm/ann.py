@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product over randomly rotated one-bit codes.
 
-A vector's direction o is rotated by a fixed random orthogonal matrix and kept as the signs
-of its coordinates, one bit each. With o' the unit vector of those signs and a = <o', o>,
-<o', q> / a estimates <o, q> without bias, and its error is below
-EPSILON * sqrt((1 - a * a) / (a * a) / (D - 1)) with high probability. Code, norm and a are
-the index; every vector is in it, nothing is trained.
+A vector's direction o is turned by a fixed random orthogonal matrix, in a space of BITS times
+its dimensions, and kept as the signs of its coordinates there, one bit each. With o' the unit
+vector of those signs and a = <o', o>, <o', q> / a estimates <o, q> without bias, and its error
+is below EPSILON * sqrt((1 - a * a) / (a * a) / (D - 1)), D the number of bits, but for a share
+of about 3e-6 of the vectors. Code, norm and a are the index; every vector is in it, nothing is
+trained.
 
 For a query and a block of vectors, the best estimates are scored exactly; their k-th score
 is a threshold, and every vector whose estimate plus error reaches it is scored exactly as
@@ -24,26 +25,34 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-EPSILON = 2.5
-QUERY_BLOCK = 1024
-ROW_BLOCK = 8192
+#: Bits of a code for each component, and the error bound in standard deviations.
+BITS = 4
+EPSILON = 4.5
+#: Blocks of these sizes are copied to as many tasks as there are blocks of the other kind.
+QUERY_BLOCK = 8192
+ROW_BLOCK = 4096
 
 
 @lru_cache(4)
 def rotation(dim: int, seed: int = 41) -> np.ndarray:
-    """A random orthogonal matrix of dim rows and as many columns as bits, a multiple of 8."""
-    bits = -(-dim // 8) * 8
+    """The first dim rows of a random orthogonal matrix, with a column for each bit, a multiple of 8."""
+    bits = -(-dim * BITS // 8) * 8
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
     return (q * np.sign(np.diag(r)))[:dim]
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Each row's norm, without overflow on the way."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, norm and a for each row of x (no row zero)."""
-    norm = np.sqrt((x * x).sum(1))
-    turned = (x / norm[:, None]) @ rotation(x.shape[1])
+    most = np.abs(x).max(1)[:, None]
+    turned = x / most / lengths(x / most)[:, None] @ rotation(x.shape[1])
     signs = turned >= 0
-    align = np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
-    return np.packbits(signs, axis=1), norm, align
+    return np.packbits(signs, axis=1), lengths(x), np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
 
 
 def usable(vector: Column) -> Column:
@@ -53,23 +62,30 @@ def usable(vector: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, dim, vector, code, norm, align) for each usable vector, stored in the shared folder."""
+    """(id, dim, vector, code, norm, align) for each usable vector, stored in the shared folder.
+
+    Vectors that are null, zero, empty or hold null or non-finite components take no part,
+    nor do rows without an id. Vectors of several dimensions may stand in one table. Other
+    columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.array(batch.column(1))
             for dim in np.unique(dims):
                 own = batch.filter(pa.array(dims == dim))
-                x = own.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = own.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
                 code, norm, align = codes(x)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), own.column(2), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(align)],
                     names=["id", "dim", "vector", "code", "norm", "align"],
                 )
 
-    vector = F.col(vector_col).cast("array<double>")
-    rows = vectors.filter(usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.size(vector).alias("dim"), vector.alias("vector"))
-    return stored(rows.mapInArrow(run, "id long, dim int, vector array<double>, code binary, norm double, align double"), "ann-index")
+    # Single precision stays what it is in the shuffle; all arithmetic is in double precision.
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    vector = F.col(vector_col).cast(kind)
+    rows = vectors.filter(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.size(vector).alias("dim"), vector.alias("vector"))
+    return stored(rows.mapInArrow(run, f"id long, dim int, vector {kind}, code binary, norm double, align double"), "ann-index")
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -90,21 +106,21 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x:
     signs = np.unpackbits(code, axis=1).astype(np.float32) * 2 - 1
     scale = norm / align / np.sqrt(bits)
     slack = EPSILON * norm * np.sqrt(np.maximum(0, 1 - align * align) / (align * align) / max(1, bits - 1))
-    turned = (queries @ rotation(queries.shape[1])).astype(np.float32)
-    lengths = np.sqrt((queries * queries).sum(1))
+    size = lengths(queries)
+    turned = (queries / size[:, None] @ rotation(queries.shape[1])).astype(np.float32)
     for at in range(0, len(queries), 64):
-        estimates = (turned[at : at + 64] @ signs.T) * scale
+        estimates = (turned[at : at + 64] @ signs.T).astype(float) * scale  # of inner products with the query's direction
         for i, estimate in enumerate(estimates, at):
-            estimate[ids == query_ids[i]] = -np.inf
-            usable_rows = len(ids) - int((ids == query_ids[i]).sum())
-            first = np.argpartition(-estimate, min(2 * k, len(ids) - 1))[: 2 * k]
-            first = first[np.isfinite(estimate[first])]
-            if not usable_rows:
+            others = ids != query_ids[i]
+            count = int(others.sum())
+            if not count:
                 continue
+            estimate[~others] = -np.inf
+            first = np.argpartition(-estimate, min(2 * k, count) - 1)[: min(2 * k, count)]
             scores = exact(x[first], queries[i])
-            if usable_rows > len(first):
-                least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-                more = estimate + slack * lengths[i] >= least
+            if count > len(first):
+                least = np.partition(scores, len(scores) - k)[len(scores) - k] / size[i]
+                more = others & (estimate + slack >= least)
                 more[first] = False
                 rest = np.flatnonzero(more)
                 first = np.concatenate([first, rest])
@@ -136,7 +152,7 @@ def nearest(index: DataFrame, is_query: Column, k: int = 20, query_block: int =
         asks = np.array(table.column("asks"))
         dim = table.column("dim")[0].as_py()
         ids = table.column("id").to_numpy()
-        x = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        x = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(float)
         code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         norm, align = table.column("norm").to_numpy(), table.column("align").to_numpy()
         out: tuple[list, list, list] = ([], [], [])

@@ -46,6 +46,8 @@ WINDOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
 #: Suffixes in a bucket, about.
 BUCKET = 20_000
+#: Rows sampled for each bucket's splitter, about; Spark takes three times as many, and never over 3 million in all.
+SAMPLES = 10
 
 _rng = np.random.default_rng(23)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -327,8 +329,15 @@ def _apart(rows: DataFrame) -> DataFrame:
     return strings.join(twins, ["d1", "d2"]).groupBy("node", "at").agg(F.max("o").alias("most"), F.min("o").alias("least"))
 
 
-def _buckets(rows: DataFrame) -> int:
-    return max(1, -(-rows.count() // BUCKET))
+def _sampled(rows: DataFrame, by_before: bool, name: str) -> DataFrame:
+    """_resolve's result, stored. Splitters come from SAMPLES rows a bucket, as the driver holds the sample."""
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    held = rows.sparkSession.conf.get(setting)
+    rows.sparkSession.conf.set(setting, str(SAMPLES))
+    try:
+        return stored(_resolve(rows, max(1, -(-rows.count() // BUCKET)), by_before), name)
+    finally:
+        rows.sparkSession.conf.set(setting, held)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -382,10 +391,9 @@ def repeated_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = marks.filter("wanted").groupBy("node").agg(F.collect_list("at").alias("at")).join(copies, "node").select("node", "at", "first")
     texts = docs.join(wanted, "node").filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text", "at")
     suffixes = stored(_suffixes(texts), "suffix-rows")
-    found = stored(_resolve(suffixes, _buckets(suffixes), False), "suffix-found")
+    found = _sampled(suffixes, False, "suffix-found")
     release(suffixes)
-    edges = found.filter("reach >= 0")
-    further = stored(_resolve(edges, _buckets(edges), True), "suffix-edges")
+    further = _sampled(found.filter("reach >= 0"), True, "suffix-edges")
     parts = (
         found.filter("reach < 0").select("node", "at", "most", "least")
         .unionByName(further.filter("most >= 0").select("node", "at", "most", "least"))
