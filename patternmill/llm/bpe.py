@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 _MASK = (1 << 64) - 1
 _MIX = 0x9E3779B97F4A7C15
 #: Distinct pre-tokens whose ids a worker keeps; at more it starts afresh.
+#: Pre-tokens that a worker remembers at most, and their characters; longer ones are encoded each time.
 MEMO_LIMIT = 300_000
+MEMO_CHARS = 64
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -135,9 +137,11 @@ class _Memo(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        out = self[piece] = self.codec.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        out = self.codec.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_LIMIT:
+                self.clear()
+            self[piece] = out
         return out
 
 

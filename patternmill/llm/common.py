@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PARQUET = "{}/{}.parquet"
 
@@ -47,3 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whichever store it lies."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def digest_of(*columns: Column) -> Column:
+    """128 bits of a hash that tell rows apart; null is unlike any text."""
+    return F.unhex(F.md5(F.concat(*[F.concat(F.coalesce(F.length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit(""))) for c in (x.cast("string") for x in columns)])))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

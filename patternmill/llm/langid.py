@@ -22,12 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
+from .common import unused
+
+#: Numbers in other signs than digits, such as fractions, count among \w but are no letters.
+_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 #: Labelled rows per language that training reads at most, on average.
 ROWS_PER_LANG = 400
+#: Bytes of text per language that training reads at most; the rows with the least hashes come first.
+BYTES_PER_LANG = 8 << 20
 #: Share of calibration windows whose score lies below the rejection threshold of their length.
 REJECT_SHARE = 0.001
 MEMO_LIMIT = 200_000
@@ -206,10 +212,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fits a model on about rows_per_lang training rows of each language, chosen by a hash of the id.
 
-    Only the training fold is read, and only text and lang. One pass counts rows by language
+    Of those, rows whose texts together pass bytes_per_lang are left out, but for the first.
+    Null texts, ids and languages take no part; repeated rows count as often as they are there. Only the training fold is read, and only text and lang. One pass counts rows by language
     (without texts), a second reads the texts of the rows whose hash lies below each
     language's share. Without labelled rows the model knows no language and says `und`.
     """
@@ -219,7 +226,9 @@ def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, id_col: str = "do
     share = F.lit(0)
     for lang, n in counts:
         share = F.when(F.col(lang_col) == lang, int(min(1.0, rows_per_lang / n) * (1 << 30))).otherwise(share)
-    rows = fold.filter((at < share) & F.col(text_col).isNotNull()).select(at.alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
+    rows = fold.filter((at < share) & F.col(text_col).isNotNull()).select(at.alias("at"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    ahead = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("at", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter((F.col("ahead") == 0) | (F.col("ahead") + F.octet_length("text") <= bytes_per_lang)).drop("ahead").collect()
     rows.sort(key=lambda r: (r["at"], r["id"], r["lang"], r["text"]))
     langs = [lang for lang, _ in counts]
     model = LanguageModel(langs)
@@ -252,7 +261,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 texts = texts[n:]
             yield pd.DataFrame({"lang_pred": [x for x, _, _ in got], "score": [s for _, s, _ in got], "rejected": [r for _, _, r in got]})
 
-    found = "__lang_found"
+    found = unused(docs, "__lang_found")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], run(F.col(text_col).cast("string")).alias(found))
     return out.select(*[F.col(f"`{c}`") for c in kept], f"{found}.lang_pred", f"{found}.score", f"{found}.rejected")

@@ -33,22 +33,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import digest_of, stored, unused
 
 WORDS = 5
 #: Similarity in hundredths from which documents are linked.
 SIMILAR = 75
 COORDINATES = 48
-MATCHES = 21
+MATCHES = 18
 #: Further coordinates of the classes that are posted, and how many of them must agree.
 FINE = 256
-FINE_MATCHES = 156
+FINE_MATCHES = 148
 #: Members of a posting list that are joined directly, and of a block of a longer one.
 SHORT = 16
 BLOCK = 512
 #: Rounds in which lists are compared with a hub before they are compared completely.
 HUB_TURNS = 3
+#: Words that a worker remembers at most, and their bytes.
 MEMO_LIMIT = 300_000
+MEMO_BYTES = 64
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _R = np.random.default_rng(11)
@@ -59,9 +61,11 @@ _POSTED, _FINE = slice(0, COORDINATES), slice(COORDINATES, COORDINATES + FINE)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO_LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -110,7 +114,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 names=["key", "doc_id", "n_shingles", "node", "signature"],
             )
 
-    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long, node binary, signature array<int>")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key binary, doc_id long, n_shingles long, node binary, signature array<int>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ class _Confirm:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame):
         wanted = members.select("v").distinct().join(classes.select("v", "key"), "v")
-        self.sets = stored(_sets(docs.select("key", "text").join(wanted, "key").select("v", "text")), "near-sets")
+        self.sets = stored(_sets(docs.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("v", "text")), "near-sets")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         left = self.sets.select(F.col("v").alias("a"), F.col("found").alias("fa"))
@@ -184,7 +188,7 @@ def _block_links(long: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
     rows = long.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), "v", "component")
-    rows = rows.join(classes.select("v", "n", "signature", "mask"), "v").join(sets.select("v", "found").dropDuplicates(["v"]), "v")
+    rows = rows.join(classes.select("v", "n", "signature", "mask"), "v").join(sets.select("v", "found"), "v")
 
     def run(table: pa.Table) -> pa.Table:
         v, n, second, component, mask = (table.column(c).to_numpy() for c in ("v", "n", "second", "component", "mask"))
@@ -217,7 +221,8 @@ def _block_links(long: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    """Tells rows apart by id and text, in 128 bits."""
+    return digest_of(F.col(id_col), F.col(text_col))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -242,7 +247,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = stored(postings.select("v").distinct(), "near-members")
     confirm = _Confirm(docs, classes, members)
     masks = postings.groupBy("v").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
-    posted = classes.select("v", "n", "signature").join(masks, "v").join(confirm.sets.select("v", "fine").dropDuplicates(["v"]), "v")
+    posted = classes.select("v", "n", "signature").join(masks, "v").join(confirm.sets.select("v", "fine"), "v")
     posted = stored(posted, "near-posted")
 
     lists, seen, labels = postings, None, None
@@ -307,6 +312,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     keys = rows.filter("component is not null").groupBy("component").agg(first.alias("first")).select("first.key")
     keys = keys.union(rows.filter("component is null").select("key"))
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    name = unused(docs, "__key")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
     # Rows with one id and one text have one key; the first of them stays.
-    return keyed.join(keys.withColumnRenamed("key", "__key"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return keyed.join(keys.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name]).drop(name)

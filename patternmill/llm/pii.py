@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from .pii_examples import expand
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_ADDRESS = frozenset(string.ascii_letters + string.digits + "._%+@-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
+# A number that fails from its first digit fails from any other, so only first digits are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _EDGE = re.compile(r"^\W*(?:[A-Za-z_]+[=:]\W*)?|\W*$")
@@ -41,16 +43,16 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of _EMAIL. A match lies in one run of address characters, so runs without @ are skipped."""
+    """Addresses: each @ is tried once, with all that may stand before it, so time is linear in the text."""
     at, done = text.find("@"), 0
     while at >= 0:
         start = at
-        while start > done and text[start - 1] in _ADDRESS:
+        while start > done and text[start - 1] in _LOCAL:
             start -= 1
-        done = _EMAIL_RUN.match(text, at).end()
-        for m in _EMAIL.finditer(text, start, done):
-            yield m.span()
-        at = text.find("@", done)
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -91,7 +93,9 @@ class Tagger:
     """A linear-chain CRF. Features of a token: its shape, its size, its mix of letters and digits,
     and itself if it is a cue, for the token, the one before and the one after."""
 
+    #: Tokens, and characters of tokens, that are remembered at most.
     MEMO_LIMIT = 200_000
+    MEMO_CHARS = 4_000_000
 
     def __init__(self, rows: list[tuple[list[str], list[str]]] | None = None, steps: int = 200, rate: float = 0.1, decay: float = 1e-3):
         rows = expand() if rows is None else rows
@@ -107,12 +111,13 @@ class Tagger:
 
     def _forget(self) -> None:
         self.ids: dict[str, int] = {"": 0}
+        self.chars = 0
         # Row 0 is the place before the first and after the last token of a text.
         self.score = np.zeros((1024, 3, len(self.labels)))
         self.score[0] = self._score(self._features(""))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "score")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("ids", "score", "chars")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -202,12 +207,13 @@ class Tagger:
         flat = ["", *flat]
         ids = list(map(self.ids.get, flat))
         if None in ids:
-            if len(self.ids) > self.MEMO_LIMIT:
+            if len(self.ids) > self.MEMO_LIMIT or self.chars > self.MEMO_CHARS:
                 self._forget()
             shapes: dict[tuple[int, ...], np.ndarray] = {}
             for t in dict.fromkeys(flat):
                 if t not in self.ids:
                     i = self.ids[t] = len(self.ids)
+                    self.chars += len(t)
                     if i >= len(self.score):
                         self.score = np.concatenate([self.score, np.zeros_like(self.score)])
                     f = tuple(self._features(t))
@@ -270,7 +276,9 @@ def all_spans(texts: list[str], tagger: Tagger) -> Iterator[tuple[list, list]]:
     """For each text its base spans, and all spans: those and the tagger's that overlap none of them."""
     for text, more in zip(texts, tagger.spans(texts), strict=True):
         base = base_spans(text)
-        extra = [x for x in more if not any(x[0] < b and a < x[1] for a, b, _ in base)]
+        starts, ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+        # The base spans that start before a span ends: does one of them end behind its start?
+        extra = [x for x in more if not (n := bisect_left(starts, x[1])) or ends[n - 1] <= x[0]]
         yield base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS), x[2]))
 
 
@@ -284,34 +292,37 @@ def _chunks(texts: list[str], size: int = 500_000) -> Iterator[tuple[int, int]]:
 
 
 def find_pii(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and spans.
+    """Returns id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_spans (of all kinds).
 
     Spans are kind:start:end, by start, comma-joined, in code points, end exclusive; a null
-    text counts as empty. Every row gives a row; other columns are ignored.
+    text counts as empty. Every row gives a row, repeated ones too; a null id stays null;
+    other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts, digests, spans = [], [], []
+            counts, digests, spans, sizes = [], [], [], []
             for a, b in _chunks(texts):
                 for base, every in all_spans(texts[a:b], shared.value):
                     counts.append([sum(x[2] == k for x in base) for k in KINDS])
                     digests.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest())
                     spans.append(",".join(f"{k}:{s}:{e}" for s, e, k in every))
+                    sizes.append(len(every))
             columns = {id_col: batch.column(0)}
             columns |= {f"n_{k}": pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(KINDS)}
-            yield pa.RecordBatch.from_pydict(columns | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string())})
+            yield pa.RecordBatch.from_pydict(columns | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(spans, pa.string()), "n_spans": pa.array(sizes, pa.int64())})
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
     """docs with every span in the text replaced by its kind in angle brackets; null stays null.
 
-    Where spans overlap, the union is replaced once, by the kind that starts first.
+    Where spans overlap, the union is replaced once, by the kind that starts first. All rows
+    and all other columns stay as they are, repeated rows too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import remove, scratch, stored, table
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = scratch(spark, "warc"), scratch(spark, "warc-dedup")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), first)
     warc.dedup_warc(spark, first, second, min_bytes=0)
+    remove(spark, first)
     found = warc.resolve_revisits(warc.read_headers(spark, second))
     return found.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")

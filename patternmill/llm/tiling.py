@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import digest_of
+
 #: Words of a seed, and of the shortest tile.
 LEAST = 5
 #: Share of an item's words that tiles must cover.
@@ -92,6 +94,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, p: np.ndarray, t: np.ndarray, least
         if not taken.any():
             in_item[i : i - n] = in_doc[j : j - n] = True
             out.append((i, j, -n))
+            if len(item) - int(in_item.sum()) < least:
+                break  # no word is left for another tile
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[1], taken.view(np.int8), [1]])))
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
@@ -109,6 +113,9 @@ class Items:
         self.ids = [i for i, _ in rows]
         # Word numbers start at 1; 0 is any word that no item has.
         self.words = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64) for _, text in rows]
+        #: All items' words with a 0 before each item, and where the word before an item's first one stands.
+        self.flat = np.concatenate([np.concatenate([[0], own]) for own in self.words] or [np.zeros(0)]).astype(np.int64)
+        self.offset = np.concatenate([[0], np.cumsum([len(own) + 1 for own in self.words])]).astype(np.int64)
         #: Seeds by their number of words: sorted hashes, items, places in the items.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({min(least, len(own)) for own in self.words if len(own)}):
@@ -141,8 +148,8 @@ class Items:
             at, low, count = at[hit], low[hit], (high - low)[hit]
             if not len(at):
                 continue
-            which = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            place = np.repeat(at, count)
+            pairs = [self._starts(x, at[own_], low[own_], count[own_], of, places) for own_ in self._pieces(count)]
+            which, place = (np.concatenate(c) for c in zip(*pairs, strict=True))
             text = np.searchsorted(starts, place, "right") - 1
             item = of[which]
             order = np.lexsort((item, text))
@@ -155,6 +162,24 @@ class Items:
                     yield k, i, found
 
 
+    @staticmethod
+    def _pieces(count: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+        """Runs of places with about `most` pairs each."""
+        cuts = np.searchsorted(np.cumsum(count), np.arange(most, int(count.sum()) + most, most))
+        edges = [0, *sorted(set((cuts[:-1] + 1).tolist())), len(count)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield slice(a, b)
+
+    def _starts(self, x: np.ndarray, at: np.ndarray, low: np.ndarray, count: np.ndarray, of: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a seed and a place where a match begins; words before both that are equal make it begin earlier."""
+        which = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        place = np.repeat(at, count)
+        before = self.flat[self.offset[of[which]] + places[which]]
+        begins = (before == 0) | (place == 0) | (before != x[np.maximum(place - 1, 0)])
+        return which[begins], place[begins]
+
+
 _SCHEMA = "item_id long, coverage double, n_tiles int, longest int"
 
 
@@ -174,7 +199,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
     Returns doc_id, item_id, coverage, n_tiles, longest. Words are runs of characters other
     than ASCII marks and white space, ASCII letters lower-cased, and single characters of
     scripts without spaces; texts are read whole. An item with fewer than `least` words leaks
-    where it is copied whole, one without words nowhere; a null text has no words. Repeated
+    where it is copied whole, one without words nowhere; a null text has no words, and a null
+    id of either stays null. Repeated
     documents or items give repeated pairs. The benchmark is broadcast up to broadcast_bytes
     of text, and joined by its seeds beyond.
     """
@@ -184,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
     kind = docs.schema["doc_id"].dataType.simpleString()
     if size > broadcast_bytes:
         return _joined(docs, items, coverage, least, kind)
-    rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in items.collect())
+    rows = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     shared = docs.sparkSession.sparkContext.broadcast(Items(rows, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +249,9 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, least: int, kind
         return df.mapInArrow(run, f"{key} {key_kind}, seed long")
 
     # Numbers stand for rows, so that rows with equal or null ids stay apart.
-    docs = docs.withColumn("d", F.xxhash64("doc_id", "text"))
-    items = items.withColumn("b", F.xxhash64("item_id", "text"))
-    pairs = seeds(docs.select("d", "text").distinct(), "d", "long", False).join(seeds(items.select("b", "text").distinct(), "b", "long", True), "seed").select("d", "b").distinct()
+    docs = docs.withColumn("d", digest_of(F.col("doc_id"), F.col("text")))
+    items = items.withColumn("b", digest_of(F.col("item_id"), F.col("text")))
+    pairs = seeds(docs.select("d", "text").distinct(), "d", "binary", False).join(seeds(items.select("b", "text").distinct(), "b", "binary", True), "seed").select("d", "b").distinct()
     both = pairs.join(docs, "d").join(items.withColumnRenamed("text", "item"), "b").select("doc_id", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +262,7 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: float, least: int, kind
                 for _, _, found in own.search([text]):
                     measured = _measure(len(own.words[0]), found)
                     if measured[0] >= coverage:
-                        out.append((i, item_id if item_id is not None else -1, *measured))
+                        out.append((i, item_id, *measured))
             yield _rows(batch.column(0), out)
 
     return both.mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -238,9 +239,36 @@ def test_warc(spark):
         r = got[None if i is None else str(i)]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {"1": ("response", None), "3": ("revisit", "1"), None: ("revisit", "1"), "2": ("response", None), "5": ("revisit", "2"), "7": ("response", None)}
-    empty = scratch(spark, "t")
+    empty, fresh = scratch(spark, "t"), scratch(spark, "t")
     warc.write_warc(warc.page_records(pages.limit(0)), empty)
     assert warc.read_headers(spark, empty).collect() == []
+    warc.dedup_warc(spark, empty, fresh)
+    assert warc.read_headers(spark, fresh).collect() == []
+
+
+def test_warc_headers(spark):
+    """Archives are bounded by bytes; every record of a deduplicated archive has an id, date and digests of its own."""
+    rows = [(i, f"http://h/{i}", ("é" * 300 if i % 2 else f"{i} " * 400)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    first, second = scratch(spark, "t"), scratch(spark, "t")
+    warc.write_warc(warc.page_records(pages, date="2020-01-02T03:04:05Z"), first, archive_bytes=10_000)
+    warc.dedup_warc(spark, first, second, date="2021-01-02T03:04:05Z", archive_bytes=10_000)
+    seen = []
+    for path, date in ((first, "2020-01-02T03:04:05Z"), (second, "2021-01-02T03:04:05Z")):
+        files = [bytes(r[0]) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+        own = [list(warc.records_of(f)) for f in files]
+        assert len(files) > 3 and all(len(x) == 1 or sum(len(block) for _, block in x) <= 10_000 for x in own)
+        heads = [(h, block) for x in own for h, block in x]
+        assert len(heads) == 60 and all(h["WARC-Date"] == date for h, _ in heads)
+        for h, block in heads:
+            assert h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() and int(h["Content-Length"]) == len(block)
+            assert h["WARC-Type"] == "revisit" or block.startswith(b"HTTP/1.1 200 OK\r\n")
+        seen.append({h["WARC-Record-ID"] for h, _ in heads})
+    assert len(seen[0] | seen[1]) == 120
+    revisits = [h for h, _ in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 29 and {h["WARC-Refers-To"] for h in revisits} <= seen[1]
+    got = warc.resolve_revisits(warc.read_headers(spark, second)).collect()
+    assert sorted(int(r["page_id"]) for r in got if r["refers_to"] == "1") == list(range(3, 60, 2))
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -280,6 +308,22 @@ def test_personal_data(spark, texts):
     assert clean == {1: "to <email> now", 2: None}
 
 
+def test_personal_data_in_long_texts():
+    """A megabyte of what almost matches takes time in proportion; addresses are what the pattern finds."""
+    began = time.time()
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@ ", "1." * 500_000, "a@" * 500_000, "a@b" * 300_000 + ".c", "+1" + " " * 1_000_000, "+" * 1_000_000, "1 " * 500_000):
+        pii.base_spans(text)
+    assert time.time() - began < 30
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices("a1.@-+% ", weights=[4, 2, 4, 3, 1, 1, 1, 1], k=rng.randint(0, 60)))
+        got = [(s, e) for s, e, k in pii.base_spans(text) if k == "email"]
+        assert got == [m.span() for m in re.finditer(PATTERNS["email"], text)], text
+        text = "".join(rng.choices("12 .", weights=[4, 2, 1, 6], k=rng.randint(0, 60)))
+        want = [m.span() for m in re.finditer(PATTERNS["ip"], text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(s, e) for s, e, k in pii.base_spans(text) if k == "ip"] == want, text
+
+
 def test_viterbi_is_best_path():
     tagger = pii.Tagger()
     rng = np.random.default_rng(5)
@@ -498,6 +542,26 @@ def test_tiling_of_short_and_unspaced_items(spark):
         assert got == [(0, 0, 1.0, 1), (2, 1, 1.0, 1), (4, 2, 1.0, 1), (6, 3, 1.0, 1)]
 
 
+def test_tiling_of_long_and_odd_rows(spark):
+    """One word over and over in both, and ids that are null."""
+    items = tiling.Items([(1, "so " * 120), (None, "a b c d e f")])
+    began = time.time()
+    found = {(k, i): t for k, i, t in items.search(["so " * 300_000, "x a b c d e f"])}
+    assert time.time() - began < 60 and found == {(0, 0): [(0, 0, 120)], (1, 1): [(0, 1, 6)]}
+    docs = spark.createDataFrame([(None, "x a b c d e f y"), (2, None), (2, "a b c d e f")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d e f"), (-1, "q r s t u v"), (3, None)], "item_id long, text string")
+    for limit in (tiling.BROADCAST_BYTES, 0):
+        got = sorted(((r["doc_id"], r["item_id"]) for r in tiling.leaks(docs, bench, broadcast_bytes=limit).collect()), key=str)
+        assert got == [(2, None), (None, None)]
+
+
+def test_language_of_signs(spark):
+    """Fractions, superscripts and letter-like numbers are no letters."""
+    df = spark.createDataFrame([(i, t, "en" if i < 40 else None) for i, t in enumerate(["some plain words here"] * 40 + ["²", "½ ¾", "Ⅷ", "① ②", "ª"])], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train(df)).collect()}
+    assert [found[i] for i in range(40, 45)] == ["und"] * 4 + ["en"]
+
+
 def test_language_rejects_what_it_has_not_learned(spark):
     rng = random.Random(14)
     sounds = {"aa": ["ka", "mo", "tu", "ri"], "bb": ["sch", "enf", "olt", "ung"], "cc": ["ñe", "éa", "ço", "ü"]}
