@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternmill.llm import bpe, langid, minhash, pii, tiling
-from patternmill.llm.common import stored, table
+from patternmill.llm.common import stored, table, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, in one piece or reordered, go."""
-    keyed = docs.withColumn("__key", minhash.row_key("doc_id", "text"))
-    found = tiling.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, minhash.row_key("doc_id", "text"))
+    found = tiling.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
