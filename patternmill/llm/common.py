@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder that the session names in spark.checkpoint.dir."""
+    """A fresh path below the shared folder that the session names in spark.checkpoint.dir.
+
+    Where the session names none, a local master, whose one machine is all there is, gets a
+    folder of its own; a cluster is an error, not a reason to write to one machine's disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "patternmill-scratch")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
