@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,33 @@ class Config:
     posix: bool = False
     allow_shell: bool = False
     sequential: bool = False
+    #: csv or tsv: fields may be quoted, in the input or in what print writes; header: the first record is skipped.
+    input_mode: str | None = None
+    output_mode: str | None = None
+    header: bool = False
+    #: Where run() writes as it goes, and threads of a plan on the command line.
+    output: TextIO | None = None
+    parallel: int = 1
+
+
+SEPARATORS = {"csv": ",", "tsv": "\t", None: None}
+
+
+class _Sent(list):
+    """Pieces of output that go to a file as they come, some thousand at a time."""
+
+    def __init__(self, file: TextIO):
+        super().__init__()
+        self.file = file
+
+    def append(self, piece: str) -> None:
+        super().append(piece)
+        if len(self) > 4096:
+            self.send()
+
+    def send(self) -> None:
+        self.file.write("".join(self))
+        self.clear()
 
 
 class Program:
@@ -64,14 +92,22 @@ class Program:
         p.df.explain("formatted")
 
     def run(self, text: str | Iterable[str] = "", config: Config | None = None) -> str:
-        """Runs over text on the driver, for small inputs, and returns what is printed."""
+        """Runs over text on the driver, for small inputs, and returns what is printed, or writes it to config.output."""
         c = config or Config()
-        m = Machine(self.tree, c.fs, c.rs, c.ofs, c.ors, c.variables, c.args, c.posix, c.allow_shell)
+        m = Machine(self.tree, c.fs, c.rs, c.ofs, c.ors, c.variables, c.args, c.posix, c.allow_shell, separated=SEPARATORS[c.input_mode], joined=SEPARATORS[c.output_mode])
+        if c.output is not None:
+            m.out = _Sent(c.output)
         going = m.run_begin()
         if going and (m.program.rules or m.program.end):
-            m.run_records(cut([text] if isinstance(text, str) else text, m.g["RS"]))
+            chunks = [text] if isinstance(text, str) else text
+            lines = m.quoted_records(chunks) if m.separated else cut(chunks, m.g["RS"])
+            if c.header:
+                next(lines, None)
+            m.run_records(lines)
         m.run_end()
         m.flush_files() if not any(k.startswith("|") for k in m.written) else self._pipes(m)
+        if c.output is not None:
+            m.out.send()
         out = "".join(m.out)
         if m.code:
             raise ExitStatus(m.code, out)

@@ -57,6 +57,10 @@ def plan(program: S.Program, records: Records, options: Options) -> Plan:
     """The plan of a program over records; options.columns asks for columns instead of lines of text."""
     structured = options.columns is not None
     loads, begin = lookups_of(program, options)
+    if options.posix and (two := two_operands(program, records)) is not None:
+        program, records, body = two[0], two[1], two[2]
+        begin = program.begin
+        loads |= _load(program, body, S.Getline(None, None, "<"), two[3], options)
     machine = Machine(replace(program, begin=begin), fs=options.fs, ofs=options.ofs, variables=options.variables, args=options.args, posix=options.posix, allow_shell=options.allow_shell, structured=structured)
     went_on = machine.run_begin()
     constants = {k: v for k, v in machine.g.items() if k not in ("NR", "FNR", "NF")}
@@ -101,6 +105,24 @@ def lookups_of(program: S.Program, options: Options) -> tuple[dict, tuple[S.Bloc
     return loads, tuple(begin)
 
 
+def two_operands(program: S.Program, records: Records) -> tuple[S.Program, Records, S.Block, Records] | None:
+    """NR == FNR { ...; next } over several operands: the first is a table that the other rules look up.
+
+    Returns the other rules, the other operands, the body without next, and the first operand.
+    """
+    first = program.rules[0] if program.rules else None
+    if len(records.parts) < 2 or first is None or first.until is not None or first.body is None or len(first.body.body) < 2:
+        return None
+    test = S.strip(first.pattern) if first.pattern is not None else None
+    if test not in (S.Binary("==", S.Var("NR"), S.Var("FNR")), S.Binary("==", S.Var("FNR"), S.Var("NR"))) or first.body.body[-1] != S.Jump("next"):
+        return None
+    rest = replace(program, rules=program.rules[1:])
+    if any(n in (S.Var("NR"), S.Var("FNR")) for n in S.walk((rest.rules, rest.end, tuple(program.functions.values())))):
+        return None  # numbers run on over both
+    others = records.parts[1:]
+    return rest, others[0] if len(others) == 1 else Records.concat(list(others)), S.Block(first.body.body[:-1]), records.parts[0]
+
+
 def _load(program: S.Program, body: S.Node, read: S.Getline, records: Records, options: Options) -> dict:
     own = records.ordered()
     record = _record(own, options, {})
@@ -376,18 +398,22 @@ class Planner:
             made.append((o.guard, row))
         return self.exploded_rows(df, made, names)
 
-    def sorted_rows(self, df: DataFrame, key: int, numeric: bool, descending: bool) -> DataFrame:
-        """print | "sort": an ORDER BY, on field `key` (0: the line)."""
-        names = df.columns
-        if self.options.columns:
-            kinds = dict(df.dtypes)
-            keys = [F.col(f"`{names[key - 1]}`")] if key else [F.col(f"`{n}`") for n in names]
-            first = keys[0].cast("double") if numeric and kinds[names[max(0, key - 1)]] == "string" else keys[0] if numeric or not key else keys[0].cast("string")
-            by = [first, *keys[1:], *([F.col(f"`{n}`") for n in names] if key else [])]
-        else:
-            field = F.get(split_column(F.col("value"), " "), F.lit(key - 1)) if key else F.col("value")
-            by = [C.parsed(field) if numeric else F.coalesce(field, F.lit("")), F.col("value")]
-        return df.orderBy(*[c.desc() if descending else c.asc() for c in by])
+    def sorted_rows(self, df: DataFrame, keys: list[tuple[int, bool, bool]], limit: int | None) -> DataFrame:
+        """print | "sort": an ORDER BY on fields, or the line where the field is 0; | head: its LIMIT."""
+        names, kinds, by = df.columns, dict(df.dtypes), []
+        for key, numeric, descending in keys:
+            if not self.options.columns:
+                field = F.get(split_column(F.col("value"), " "), F.lit(key - 1)) if key else F.col("value")
+                own = [C.parsed(field) if numeric else F.coalesce(field, F.lit(""))]
+            else:
+                own = [F.col(f"`{n}`") for n in ([names[key - 1]] if key else names)]
+                if numeric:
+                    own = [c.cast("double") if kinds[n] == "string" else c for c, n in zip(own, [names[key - 1]] if key else names, strict=True)]
+                elif key:
+                    own = [own[0].cast("string")]
+            by += [c.desc() if descending else c.asc() for c in own]
+        out = df.orderBy(*by)
+        return out if limit is None else out.limit(limit)
 
     def joined(self, o: Output, ofs: str, ofmt: str) -> Column:
         return F.concat_ws(ofs, *[C.text(v, ofmt) for v in o.values])
@@ -621,24 +647,30 @@ class End(Symbolic):
         return super()._builtin(e, guard)
 
 
-def sort_order(command: str) -> tuple[int, bool, bool] | None:
-    """Field, numeric and descending of a sort command; None for any other command or option."""
-    words = command.split()
-    if not words or words[0] != "sort":
+def sort_order(command: str) -> tuple[list[tuple[int, bool, bool]], int | None] | None:
+    """Keys (field, numeric, descending; field 0 is the line) of a sort command, and n of `| head -n`; None for any other."""
+    first, *rest = [part.split() for part in command.split("|")]
+    limit = None
+    if rest:
+        m = re.fullmatch(r"head(?: -n)? ?-?([0-9]+)", " ".join(rest[0]))
+        if len(rest) > 1 or not m:
+            return None
+        limit = int(m[1])
+    if not first or first[0] != "sort":
         return None
-    key, numeric, descending = 0, False, False
-    rest = words[1:]
-    while rest:
-        w = rest.pop(0)
-        if w == "-k" and rest:
-            w += rest.pop(0)
+    keys, options, words = [], "", first[1:]
+    while words:
+        w = words.pop(0)
+        if w == "-k" and words:
+            w += words.pop(0)
         if m := re.fullmatch(r"-k([0-9]+)(?:,\1)?([nr]*)", w):
-            key, numeric, descending = int(m[1]), numeric or "n" in m[2], descending or "r" in m[2]
+            keys.append((int(m[1]), m[2]))
         elif re.fullmatch(r"-[nr]+", w):
-            numeric, descending = numeric or "n" in w, descending or "r" in w
+            options += w[1:]
         else:
             return None
-    return key, numeric, descending
+    own = [(k, flags or options) for k, flags in keys or [(0, "")]]
+    return [(k, "n" in flags, "r" in flags) for k, flags in own] + ([(0, False, "r" in options)] if keys else []), limit
 
 
 # ---- record by record
@@ -648,14 +680,15 @@ def sequential(program: S.Program, records: Records, options: Options, loads: di
     """Tier D: Arrow batches of records through numpy or the evaluator, in each partition or in one ordered stream."""
     inside = list(S.walk((program.rules, tuple(program.functions.values()))))
     stateless = not program.end and not any(isinstance(n, (S.Getline, S.Exit)) or n in (S.Var("NR"), S.Var("FNR")) for n in inside) and not any(r.until for r in program.rules) and not lasting(program, frozenset(loads))
-    structured = options.columns is not None
-    names = options.columns or ["value"]
+    to_files = any(isinstance(n, S.Print) and n.to is not None and n.how != "|" for n in inside + list(S.walk(program.end)))
+    structured = options.columns is not None and not to_files
+    names = ["dest", "value"] if to_files else options.columns or ["value"]
     setup = dict(fs=options.fs, ofs=options.ofs, variables=options.variables, args=options.args, posix=options.posix, allow_shell=options.allow_shell, structured=structured)
     given = list(records.columns) if records.columns else ["value"]
     own = records if stateless else records.ordered()
     table, width = records.columns is not None, len(given)
     schema = ", ".join(f"`{c}` string" for c in names)
-    if stateless and not loads:
+    if stateless and not loads and not to_files:
         try:
             made = _batched(program, own, begun, names, structured)
             return Plan("D", f"{reason}; whole batches, every partition by itself", own.df.select(*made[0]).mapInArrow(made[1], schema), not structured, begun)
@@ -689,11 +722,13 @@ def sequential(program: S.Program, records: Records, options: Options, loads: di
             _typed(machine, numeric, width)
         if going:
             for _ in _drained(machine, lines()):
-                if len(machine.out) > 5000:
+                if len(machine.out) > 5000 and not to_files:
                     yield _batch(machine.out, names, structured)
                     machine.out.clear()
+                elif to_files and sum(map(len, machine.written.values())) + len(machine.out) > 5000:
+                    yield _files(machine, names, False)
         machine.run_end()
-        yield _batch(machine.out, names, structured)
+        yield _files(machine, names, True) if to_files else _batch(machine.out, names, structured)
 
     return Plan("D", f"{reason}; {'every partition by itself' if stateless else 'one ordered stream'}", df.mapInArrow(run, schema), not structured, begun)
 
@@ -781,4 +816,14 @@ def _batch(out: list, names: list[str], structured: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _files(machine: Machine, names: list[str], last: bool) -> pa.RecordBatch:
+    """What was printed to files, as rows of a file's name ('' for the output) and a line; unended lines wait."""
+    rows: list[tuple[str, str]] = []
+    for name, pieces in [("", machine.out), *machine.written.items()]:
+        *lines, rest = "".join(pieces).split("\n")
+        pieces[:] = [] if last or not rest else [rest]
+        rows += [(name, x.encode("utf-8", "surrogateescape").decode("utf-8", "replace")) for x in (lines + [rest] if last and rest else lines)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=names)
+
+
 __all__ = ["Options", "Plan", "plan", "NR"]

@@ -6,6 +6,8 @@ list of pieces of text, or of tuples of values where columns are asked for.
 
 from __future__ import annotations
 
+import csv
+import io
 import math
 import os
 import random
@@ -70,7 +72,7 @@ def records(chunks: Iterable[str], rs: str) -> Iterator[str]:
 class Machine:
     """A program with its state."""
 
-    def __init__(self, program: S.Program, fs: str | None = None, rs: str | None = None, ofs: str | None = None, ors: str | None = None, variables: dict | None = None, args: list[str] | None = None, posix: bool = False, allow_shell: bool = False, allow_files: bool = True, structured: bool = False):
+    def __init__(self, program: S.Program, fs: str | None = None, rs: str | None = None, ofs: str | None = None, ors: str | None = None, variables: dict | None = None, args: list[str] | None = None, posix: bool = False, allow_shell: bool = False, allow_files: bool = True, structured: bool = False, separated: str | None = None, joined: str | None = None):
         self.program = program
         self.arrays_global, self.array_params = arrays_of(program)
         self.g: dict[str, object] = {"FS": fs if fs is not None else " ", "RS": rs if rs is not None else "\n", "OFS": ofs if ofs is not None else " ", "ORS": ors if ors is not None else "\n", "SUBSEP": "\x1c", "CONVFMT": "%.6g", "OFMT": "%.6g", "RSTART": 0.0, "RLENGTH": 0.0, "NR": 0.0, "FNR": 0.0, "FILENAME": ""}
@@ -80,6 +82,8 @@ class Machine:
         self.arrays["ARGV"] = {str(i): Strnum(a) for i, a in enumerate(args)}
         self.arrays["ENVIRON"] = {k: Strnum(v) for k, v in os.environ.items()}
         self.posix, self.allow_shell, self.allow_files, self.structured = posix, allow_shell, allow_files, structured
+        #: Separators of input and output whose fields may be quoted.
+        self.separated, self.joined = separated, joined
         self.record, self.fields = "", []
         self.split_done = True
         self.strings: set[int] = set()  # fields that hold strings, not input
@@ -113,7 +117,7 @@ class Machine:
 
     def ready(self) -> list[str]:
         if not self.split_done:
-            self.fields = split_fields(self.record, text(self.g["FS"]), _pattern)
+            self.fields = next(csv.reader(self.record.splitlines(keepends=True), delimiter=self.separated), []) if self.separated else split_fields(self.record, text(self.g["FS"]), _pattern)
             self.split_done = True
         return self.fields
 
@@ -205,6 +209,17 @@ class Machine:
             if hasattr(reader, "close"):
                 reader.close()
 
+    def quoted_records(self, chunks: Iterable[str]) -> Iterator[str]:
+        """Lines, joined as long as a quoted field goes on over them."""
+        held = ""
+        for line in records(chunks, "\n"):
+            held = f"{held}\n{line}" if held else line
+            if held.count('"') % 2 == 0:
+                yield held
+                held = ""
+        if held:
+            yield held
+
     def run(self, source: Iterable) -> str:
         if self.run_begin() and (self.program.rules or self.program.end):
             self.run_records(iter(source))
@@ -254,6 +269,11 @@ class Machine:
             self.out.append(tuple(values))
             return
         ofmt = self.g["OFMT"]
+        if self.joined is not None and len(values) > 1:
+            line = io.StringIO()
+            csv.writer(line, delimiter=self.joined, lineterminator="").writerow([text(v, ofmt) for v in values])
+            self.put(line.getvalue() + end, dest)
+            return
         piece = self.g["OFS"].join(text(v, ofmt) for v in values) + end
         self.put(piece, dest)
 

@@ -150,6 +150,38 @@ SELECT o_orderkey::VARCHAR AS o_orderkey, max(n)::VARCHAR AS steps FROM c GROUP
 _add("getline_pairs", "nation", "{ a = $2; if ((getline) > 0) print a, $2 }", "a b", "SELECT max(n_name) FILTER (n_nationkey % 2 = 0) AS a, max(n_name) FILTER (n_nationkey % 2 = 1) AS b FROM nation GROUP BY n_nationkey // 2 HAVING count(*) = 2")
 _add("destinations", "nation", '{ print $2 > ("region" $3) }', "unused", "SELECT 'region' || n_regionkey AS dest, n_name AS value FROM nation")
 
+# ---- output, control flow and functions that the queries above leave out
+
+_add("print_formatted", "customer", '{ printf "%05d|%-10s|%s\\n", $1, $5, $3 }', "line", "SELECT lpad(c_custkey::VARCHAR, 5, '0') || '|' || rpad(c_mktsegment, greatest(10, length(c_mktsegment))::INT, ' ') || '|' || c_nationkey || chr(10) AS line FROM customer")
+_add("empty_action", "nation", '$1 > 20 { } $1 < 2 { print $1 }', "n_nationkey", "SELECT n_nationkey FROM nation WHERE n_nationkey < 2")
+_add("next_file_as_next", "nation", "$3 == 2 { nextfile } { print $1 }", "n_nationkey", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 2")
+_add("grouping", "lineitem", "{ print $1, $4, ($5 + 2) * ($7 - 1) / (1 + ($8 * 2)) }", "l_orderkey l_linenumber x", "SELECT l_orderkey, l_linenumber, (l_quantity + 2) * (l_discount - 1) / (1 + l_tax * 2) AS x FROM lineitem")
+_add("loop_break_continue", "orders", "{ s = 0; for (i = 1; i <= $1 % 40; i++) { if (i % 3 == 0) continue; if (s > 100) break; s += i } print $1, s }", "o_orderkey s",
+     """WITH RECURSIVE t AS (SELECT o_orderkey, 1 AS i, 0 AS s, false AS stop FROM orders UNION ALL
+SELECT o_orderkey, i + 1, CASE WHEN i % 3 <> 0 AND s <= 100 THEN s + i ELSE s END, i % 3 <> 0 AND s > 100 FROM t WHERE NOT stop AND i <= o_orderkey % 40)
+SELECT o_orderkey::VARCHAR AS o_orderkey, max(s)::VARCHAR AS s FROM t GROUP BY 1""")
+_add("do_while", "part", "{ n = 0; x = $5; do { x = x - 7; n++ } while (x > 0); print $1, n }", "p_partkey n", "SELECT p_partkey::VARCHAR AS p_partkey, greatest(1, ceil(p_size / 7.0))::INT::VARCHAR AS n FROM part")
+_add("nested_loops", "supplier", "{ n = 0; for (i = 0; i < $1 % 9; i++) for (j = i; j < 5; j++) if ((i + j) % 2) n += j; print $1, n }", "s_suppkey n",
+     "SELECT s_suppkey::VARCHAR AS s_suppkey, coalesce((SELECT sum(j) FROM range(0, 9) a(i), range(0, 5) b(j) WHERE i < s_suppkey % 9 AND j >= i AND (i + j) % 2 = 1), 0)::INT::VARCHAR AS n FROM supplier")
+_add("pair_in_array", "orders", "{ n[$3, $6]++ } END { for (k in n) { split(k, p, SUBSEP); if (k in n) print p[1], p[2], n[k] } }", "status priority n", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2")
+_add("pair_asked_first", "events", "!(($3, $4) in seen) { print $1 } { seen[$3, $4]++ }", "event_id", "SELECT min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+_add("delete_elements", "nation", "{ a[$1] = $2; if ($3 == 1) delete a[$1] } END { for (k in a) print k, a[k] }", "n_nationkey n_name", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation WHERE n_regionkey <> 1")
+_add("last_records", "nation", "{ last[NR % 4] = $2 } END { for (i = NR + 1; i <= NR + 4; i++) print i - NR, last[i % 4] }", "place n_name",
+     "SELECT (nr - 21)::INT::VARCHAR AS place, n_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS nr FROM nation) WHERE nr > 21")
+_add("getline_variable", "nation", "{ if ((getline line) > 0) { split(line, p); print $1, p[1] } }", "a b", "SELECT n_nationkey::VARCHAR AS a, (n_nationkey + 1)::VARCHAR AS b FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 24")
+_add("getline_element", "nation", "{ if ((getline got[$1]) > 0) { split(got[$1], p); print $1, p[2] } }", "a b", "SELECT (n.n_nationkey - 1)::VARCHAR AS a, n.n_name AS b FROM nation n WHERE n_nationkey % 2 = 1")
+_add("getline_field", "nation", "{ k = $1; if ((getline $2) > 0) print k, (NF > 2) }", "a fields", "SELECT n_nationkey::VARCHAR AS a, '1' AS fields FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 24")
+_add("command_into_variable", "region", 'BEGIN { "echo 7 8" | getline line; split(line, p); close("echo 7 8"); done = system("true") } { print $1, p[1] * $1, done }', "r_regionkey x done", "SELECT r_regionkey::VARCHAR AS r_regionkey, (7 * r_regionkey)::VARCHAR AS x, '0' AS done FROM region", allow_shell=True)
+_add("arguments", "region", 'BEGIN { n = ARGC; first = ARGV[1]; home = ("PATH" in ENVIRON) } { print $1, n, first, home }', "r_regionkey n first home", "SELECT r_regionkey, 3::DOUBLE AS n, 'x.txt' AS first, 1::DOUBLE AS home FROM region", args=["x.txt", "y.txt"])
+_add("random_numbers", "customer", "BEGIN { was = srand(5); was = srand(7) } { r = rand(); print $1, was, r >= 0 && r < 1 }", "c_custkey was inside", "SELECT c_custkey, 7::DOUBLE AS was, 1::DOUBLE AS inside FROM customer")
+_add("no_records", "orders", "$4 < 0 { n++; s += $4; m[$3]++ } END { print n + 0, s + 0, length(m) }", "n s kinds", "SELECT 0::DOUBLE AS n, 0::DOUBLE AS s, 0::BIGINT AS kinds")
+_add("function_locals", "supplier", "function sum(n, i, total) { total = 0; for (i = 1; i <= n; i++) total += i; return total } { print $1, sum($1 % 10) }", "s_suppkey s", "SELECT s_suppkey::VARCHAR AS s_suppkey, ((s_suppkey % 10) * (s_suppkey % 10 + 1) // 2)::VARCHAR AS s FROM supplier")
+_add("function_array", "nation", "function put(a, k, v) { a[k] = v; a[k, 1] = v v } { split(\"\", t); put(t, $1, $2); print length(t), t[$1, 1] }", "n twice", "SELECT '2' AS n, n_name || n_name AS twice FROM nation")
+_add("destinations_by_record", "nation", '{ while (n < $1) total += ++n; if (total % 2) print $2 > "odd"; else print $2 >> "even"; if ($1 == 3) print "three" }', "unused",
+     "SELECT CASE WHEN (n_nationkey * (n_nationkey + 1) // 2) % 2 = 1 THEN 'odd' ELSE 'even' END AS dest, n_name AS value FROM nation UNION ALL SELECT '', 'three'")
+_add("updated_once", "nation", "{ split(\"\", c); y = 0; c[y++]++; c[y++] += 5; c[y--] -= 2; print y, c[0], c[1], c[2], $1 }", "y a b c n_nationkey", "SELECT '1' AS y, '1' AS a, '5' AS b, '-2' AS c, n_nationkey::VARCHAR AS n_nationkey FROM nation")
+_add("append_destination", "nation", '{ print $2 >> ("region" $3); fflush("region" $3); close("region" $3) }', "unused", "SELECT 'region' || n_regionkey AS dest, n_name AS value FROM nation")
+
 
 # ---- set operations: what several programs or operands do
 
@@ -159,11 +191,11 @@ def _combined(name: str, make: Query, sql: str) -> None:
     ORACLE_SQL[name] = sql
 
 
-def _keys(spark: SparkSession, sf_dir: str, table: str, k: int, pattern: str = "") -> DataFrame:
-    return Program(f"{pattern} {{ print ${k} }}").to_df(records(spark, sf_dir, table), ["k"])
+def _operands(spark: SparkSession, sf_dir: str, *tables: str) -> Records:
+    return Records.concat([records(spark, sf_dir, t) for t in tables])
 
 
-_combined("union_operands", lambda s, d: _keys(s, d, "customer", 3).union(_keys(s, d, "supplier", 3)), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+_combined("union_operands", lambda s, d: Program("{ print $3 }").to_df(_operands(s, d, "customer", "supplier"), ["k"]), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 
 
 def _intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +210,13 @@ def _except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _combined("intersect", _intersect, "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _combined("except", _except, "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-_combined("top_k", lambda s, d: Program("{ print $1, $4 }").to_df(records(s, d, "orders"), ["o_orderkey", "o_totalprice"]).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_combined("top_k", lambda s, d: Program('{ print $1, $4 | "sort -k2,2nr -k1,1n | head -10" }').to_df(records(s, d, "orders"), ["o_orderkey", "o_totalprice"]), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+
+
+_combined("two_operands", lambda s, d: Program('NR == FNR { name[$1] = $2; next } $3 in name { print $1, name[$3] }').to_df(_operands(s, d, "nation", "customer"), ["c_custkey", "nation"], Config(posix=True)),
+          "SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_combined("numbers_over_operands", lambda s, d: Program("NR > 3 && NR <= 8 { print NR, $2 }").to_df(_operands(s, d, "region", "nation"), ["nr", "name"]),
+          "SELECT nr::DOUBLE AS nr, name FROM (SELECT name, row_number() OVER (ORDER BY o, k) AS nr FROM (SELECT 0 AS o, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation)) WHERE nr BETWEEN 4 AND 8")
 
 
 def _as_lines(spark: SparkSession, sf_dir: str, table: str) -> Records:

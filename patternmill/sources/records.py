@@ -39,6 +39,28 @@ class Records:
     columns: tuple[str, ...] | None = None
     order: tuple[Column, Column] | None = None
     name: Column | None = None
+    #: The operands that these records are put together from, if there are several.
+    parts: tuple = ()
+
+    @staticmethod
+    def concat(parts: list[Records]) -> Records:
+        """Operands one after the other; a table's fields of different kinds become text."""
+        if len({p.columns is None for p in parts}) > 1:
+            raise ValueError("operands are either all tables or all text")
+        own = [p.ordered() for p in parts]
+        chunk = [F.concat(F.format_string("%05d|", F.lit(i)), F.col(CHUNK)).alias(CHUNK) for i in range(len(own))]
+        if own[0].columns is None:
+            chosen = [p.df.select("value", c, POS) for p, c in zip(own, chunk, strict=True)]
+            columns = None
+        else:
+            columns = tuple(f"f{k}" for k in range(1, max(len(p.columns) for p in own) + 1))
+            kinds = [{p.df.schema[p.columns[k]].dataType for p in own if k < len(p.columns)} for k in range(len(columns))]
+            field = lambda p, k: F.lit("") if k >= len(p.columns) else p.value(k + 1).col if len(kinds[k]) == 1 else text(p.value(k + 1))
+            chosen = [p.df.select(*[field(p, k).alias(n) for k, n in enumerate(columns)], c, POS) for p, c in zip(own, chunk, strict=True)]
+        df = chosen[0]
+        for part in chosen[1:]:
+            df = df.unionAll(part)
+        return Records(df, columns, (F.col(CHUNK), F.col(POS)), None, tuple(parts))
 
     @staticmethod
     def from_table(df: DataFrame, columns: list[str] | None = None) -> Records:
@@ -58,7 +80,9 @@ class Records:
         df = parts[0]
         for part in parts[1:]:
             df = df.unionAll(part)
-        return Records(df if rs else _paragraphs(df), None, (F.col(CHUNK), F.col(POS)), F.col("__file"))
+        # Each operand by itself, for programs that tell the first one from the others.
+        own = tuple(Records(_paragraphs(p) if not rs else p, None, (F.col(CHUNK), F.col(POS)), F.col("__file")) for p in parts) if len(parts) > 1 else ()
+        return Records(df if rs else _paragraphs(df), None, (F.col(CHUNK), F.col(POS)), F.col("__file"), own)
 
     @staticmethod
     def from_lines(spark: SparkSession, lines: list[str]) -> Records:

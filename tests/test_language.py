@@ -142,3 +142,31 @@ def test_command_line(tmp_path, capsys):
     assert capsys.readouterr().out == "1 b\n"
     assert main(["BEGIN { exit 4 }"]) == 4
     assert main(["BEGIN {"]) == 2
+
+
+def test_quoted_fields(tmp_path, capsys):
+    """csv and tsv on both sides, a header, and quoted fields that hold separators and newlines."""
+    from patternmill.cli import main
+
+    (tmp_path / "d.csv").write_text('name,note\n"a, b","x ""y"""\nc,"two\nlines"\n')
+    assert main(["-i", "csv", "-ocsv", "-H", "{ print NF, $2, $1 }", str(tmp_path / "d.csv")]) == 0
+    assert capsys.readouterr().out == '2,"x ""y""","a, b"\n2,"two\nlines",c\n'
+    assert main(["-itsv", "{ print $2 }", str(tmp_path / "d.csv")]) == 0
+    assert main(["-i", "xml", "1"]) == 2
+    capsys.readouterr()
+    assert main(["-j", "2", "NR == 1 { print; exit 4 }", str(tmp_path / "d.csv")]) == 4
+    assert capsys.readouterr().out == "name,note\n"
+    assert main(["-dt", "function f(a, b) { a[b] = 1 } { f(x, y); z++ }"]) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert "x: array" in shown and "z: scalar" in shown and shown[-1] == "f(a[], b)"
+    assert main(["-dp", "{ n++; m = 1; print m }"]) == 0
+    assert capsys.readouterr().out.endswith("record to record: n\n")
+
+
+def test_output_as_it_goes():
+    """run() writes to config.output instead of holding what is printed."""
+    import io
+
+    out = io.StringIO()
+    assert P.run("{ print $1 * 2 }", "".join(f"{i}\n" for i in range(10_000)), P.Config(output=out)) == ""
+    assert out.getvalue() == "".join(f"{2 * i}\n" for i in range(10_000))
