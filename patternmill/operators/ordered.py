@@ -20,24 +20,24 @@ _COMBINE = {
 }
 
 
-def carried(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: list[Column] | None = None, inclusive: bool = False) -> DataFrame:
+def carried(df: DataFrame, columns: dict[str, tuple[str, Column]], keys: list[Column] | None = None) -> DataFrame:
     """df with a column for each name: the aggregate (sum, max, min or last non-null) over earlier records.
 
-    With keys the order runs inside each key. df has __chunk and __pos. inclusive counts the record itself.
+    With keys the order runs inside each key, and a key's records are cut into chunks like all
+    records are without, so that a frequent key is no single task. df has __chunk and __pos.
     """
-    last = Window.currentRow if inclusive else -1
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(CHUNK, POS).rowsBetween(Window.unboundedPreceding, last)
-        return df.select("*", *[_COMBINE[how][0](c).over(w).alias(name) for name, (how, c) in columns.items()])
-    inside = Window.partitionBy(CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, last)
-    across = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    own_keys = {f"__k{i}": F.coalesce(k.cast("string"), F.lit("\0")) for i, k in enumerate(keys or [])}
+    keyed = df.withColumns(own_keys) if own_keys else df
+    by = [*own_keys, CHUNK]
+    inside = Window.partitionBy(*by).orderBy(POS).rowsBetween(Window.unboundedPreceding, -1)
+    across = (Window.partitionBy(*own_keys) if own_keys else Window).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
     def own(how: str, c: Column) -> Column:
         return F.max_by(c, F.when(c.isNotNull(), F.col(POS))) if how == "last" else _COMBINE[how][0](c)
 
-    totals = df.groupBy(CHUNK).agg(*[own(how, c).alias(f"__t_{n}") for n, (how, c) in columns.items()])
-    ahead = totals.select(CHUNK, *[_COMBINE[how][0](F.col(f"__t_{n}")).over(across).alias(f"__a_{n}") for n, (how, _) in columns.items()])
-    out = df.select("*", *[_COMBINE[how][0](c).over(inside).alias(f"__i_{n}") for n, (how, c) in columns.items()]).join(ahead, CHUNK)
+    totals = keyed.groupBy(*by).agg(*[own(how, c).alias(f"__t_{n}") for n, (how, c) in columns.items()])
+    ahead = totals.select(*by, *[_COMBINE[how][0](F.col(f"__t_{n}")).over(across).alias(f"__a_{n}") for n, (how, _) in columns.items()])
+    out = keyed.select("*", *[_COMBINE[how][0](c).over(inside).alias(f"__i_{n}") for n, (how, c) in columns.items()]).join(ahead, by)
     made = [_COMBINE[how][1](F.col(f"__a_{n}"), F.col(f"__i_{n}")).alias(n) for n, (how, _) in columns.items()]
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *made)
 

@@ -700,11 +700,12 @@ def sequential(program: S.Program, records: Records, options: Options, loads: di
     if not stateless:
         df = df.repartition(1).sortWithinPartitions(CHUNK, POS).drop(CHUNK, POS)
     first = replace(program, begin=begun.program.begin)
-    tables = {name: _collected(name, load[0]) for name, load in loads.items()}
+    # Broadcast, so that the tables reach an executor once and not with every task.
+    tables = df.sparkSession.sparkContext.broadcast({name: _collected(name, load[0]) for name, load in loads.items()}) if loads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(first, **setup)
-        machine.arrays |= {name: dict(rows) for name, rows in tables.items()}
+        machine.arrays |= {name: dict(rows) for name, rows in tables.value.items()} if tables is not None else {}
         going = machine.run_begin()
         machine.out.clear()  # what BEGIN prints is printed by the driver
 
@@ -757,18 +758,18 @@ def _batched(program: S.Program, own: Records, begun: Machine, names: list[str],
     return columns, run
 
 
-#: Rows of a lookup table that an evaluator may hold.
-LOOKUP_ROWS = 1_000_000
+#: Bytes of keys and values of the lookup tables that an evaluator may hold.
+LOOKUP_BYTES = 64 << 20
 
 
 def _collected(name: str, df: DataFrame) -> dict:
     """A lookup table for the evaluator, if it is small enough to be held in memory."""
     keys = [c for c in df.columns if c != "value"]
-    rows = df.limit(LOOKUP_ROWS + 1).collect()
-    if len(rows) > LOOKUP_ROWS:
-        raise PatternmillError(f"lookup {name} has more than {LOOKUP_ROWS} rows, and the program cannot be planned as a join")
+    size = df.agg(F.sum(sum((F.octet_length(F.coalesce(F.col(c).cast("string"), F.lit(""))) + 16 for c in df.columns), F.lit(0)))).first()[0] or 0
+    if size > LOOKUP_BYTES:
+        raise PatternmillError(f"lookup {name} has {size} bytes, more than {LOOKUP_BYTES}, and the program cannot be planned as a join")
     value = lambda v: v if v is None or isinstance(v, str) else float(v)
-    return {"\x1c".join(text(value(r[k])) for k in keys): value(r["value"]) for r in rows}
+    return {"\x1c".join(text(value(r[k])) for k in keys): value(r["value"]) for r in df.collect()}
 
 
 def _typed(machine: Machine, numeric: list[bool], width: int) -> None:
