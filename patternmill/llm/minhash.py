@@ -39,10 +39,10 @@ WORDS = 5
 #: Similarity in hundredths from which documents are linked.
 SIMILAR = 75
 COORDINATES = 48
-MATCHES = 18
+MATCHES = 21
 #: Further coordinates of the classes that are posted, and how many of them must agree.
 FINE = 256
-FINE_MATCHES = 148
+FINE_MATCHES = 156
 #: Members of a posting list that are joined directly, and of a block of a longer one.
 SHORT = 16
 BLOCK = 512
