@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import unused
 
-#: Numbers in other signs than digits, such as fractions, count among \w but are no letters.
+#: Letters, and numbers in other signs than digits such as fractions, which count among \w too.
+_RUN = re.compile(r"[^\W\d_]+")
 _SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_SIGNS)}]+")
 #: Labelled rows per language that training reads at most, on average.
 ROWS_PER_LANG = 400
 #: Bytes of text per language that training reads at most; the rows with the least hashes come first.
@@ -41,6 +42,12 @@ UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; texts without such signs, nearly all, are cut by the simple pattern."""
+    found = _RUN.findall(text.lower())
+    return found if "".join(found).isalpha() or not found else _LETTERS.findall(text.lower())
+
+
 def in_training(id_col: Column) -> Column:
     """Whether the training fold may read this row: crc32 of the id as text, mod 4, is not 2."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
@@ -87,7 +94,7 @@ class LanguageModel:
 
     def train(self, texts: list[str], labels: list[int], epochs: int = 4, window: int = 30, batch: int = 64, rate: float = 1.0) -> None:
         """SGD on windows of words, as many of each language an epoch; every fifth document only calibrates."""
-        split = [WORD.findall(t.lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         known = list(dict.fromkeys(w for words in split for w in words))
         ids, owner = self.subwords(known)
         pieces = dict(zip(known, np.split(ids, np.searchsorted(owner, np.arange(1, len(known)))), strict=True))
@@ -193,7 +200,7 @@ class LanguageModel:
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """Language, score, and whether the score is too low for a text of that length."""
-        split = [WORD.findall(t.lower()) if t else [] for t in texts]
+        split = [words_of(t) if t else [] for t in texts]
         sizes = np.array([len(x) for x in split])
         out = [(UNKNOWN, 0.0, True)] * len(texts)
         if not sizes.sum() or not self.langs:
