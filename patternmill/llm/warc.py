@@ -8,7 +8,8 @@ An archive holds about ARCHIVE_BYTES of records, or one record that is larger.
 
 Deduplication moves no payload by itself: headers are shuffled by payload digest, the first
 record of each digest is the original, and what each archive has to rewrite is joined to that
-archive, still compressed, by its path. All records written then have headers of their own:
+archive, still compressed, by its path, over about one partition an archive, so that a task
+reads a few archives however many there are. All records written then have headers of their own:
 a new id, which follows from the old one, so that revisits can name it, a new date and digests.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of records in an archive, before compression.
 ARCHIVE_BYTES = 32 << 20
+#: Partitions at most over which archives are dealt when they are rewritten, else one an archive.
+REWRITE_PARTITIONS = 20_000
 _STEP = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = "record_id string, page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to_id string"
@@ -207,7 +210,9 @@ def dedup_warc(spark: SparkSession, source: str, target: str, min_bytes: int = 0
     originals = heads.groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     revisits = heads.join(originals, ["payload_digest", "payload_bytes"]).filter("record_id <> first.record_id")
     rewrite = revisits.groupBy("archive").agg(F.collect_list(F.struct("record_id", F.col("first.record_id").alias("to"), F.col("first.url").alias("uri"))).alias("revisits"))
-    archives = spark.read.format("binaryFile").load(source).select("path", "content").join(rewrite, F.col("path") == F.col("archive"), "left").select("content", "revisits")
+    files = spark.read.format("binaryFile").load(source)
+    parts = min(max(files.select("path").count(), 1), REWRITE_PARTITIONS)
+    archives = files.select("path", "content").repartition(parts, "path").join(rewrite.repartition(parts, "archive"), F.col("path") == F.col("archive"), "left").select("content", "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
