@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest_of, stored, unused
+from .common import digest_of, release, stored, unused
 
 WORDS = 5
 #: Similarity in hundredths from which documents are linked.
@@ -167,16 +167,20 @@ def components(links: DataFrame, labels: DataFrame | None, nodes: DataFrame) ->
     ends = links.join(labels.select(F.col("v").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
     ends = ends.filter("x <> y")
     both = stored(ends.select("x", "y").union(ends.select(F.col("y"), F.col("x"))).distinct(), "near-links")
-    own = both.select("x").distinct().withColumn("c", F.col("x"))
+    own, before = both.select("x").distinct().withColumn("c", F.col("x")), None
     while True:
         near = both.join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("near"))
         lower = own.join(near, "x").select("x", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         step = stored(lower.join(lower.select(F.col("x").alias("c"), F.col("c").alias("next")), "c").select("x", "old", F.col("next").alias("c")), "near-step")
-        own = step.select("x", "c")
+        if before is not None:
+            release(before)
+        own, before = step.select("x", "c"), step
         if step.filter("c <> old").isEmpty():
             break
     renamed = labels.join(own.select(F.col("x").alias("component"), "c"), "component", "left")
-    return stored(renamed.select("v", F.coalesce("c", "component").alias("component")), "near-labels")
+    named = stored(renamed.select("v", F.coalesce("c", "component").alias("component")), "near-labels")
+    release(both, step)
+    return named
 
 
 def _block_links(long: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,6 +253,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     masks = postings.groupBy("v").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
     posted = classes.select("v", "n", "signature").join(masks, "v").join(confirm.sets.select("v", "fine"), "v")
     posted = stored(posted, "near-posted")
+    #: Tables that only the search for links reads.
+    made = [postings, members, confirm.sets, posted]
 
     lists, seen, labels = postings, None, None
     for turn in range(HUB_TURNS):
@@ -263,6 +269,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
         tried = stored(confirm(_alike(pairs, posted)), "near-hub-pairs")
+        made.append(tried)
         seen = tried if seen is None else seen.union(tried)
         links = tried.filter("linked").select("a", "b")
         if links.isEmpty():
@@ -273,6 +280,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         marked = postings.join(labels, "v")
         ends = marked.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
         lists = stored(marked.join(ends.select("token", "m", "least"), "token"), "near-open")
+        made.append(lists)
         if last or lists.isEmpty():
             break
 
@@ -284,6 +292,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     more = stored(more, "near-rest-links")
     if not more.isEmpty():
         labels = components(more, labels, members)
+    release(*made, more)
 
     named = labels.join(classes.select("v", "low"), "v")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
