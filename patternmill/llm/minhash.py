@@ -98,6 +98,13 @@ def signature(found: np.ndarray, which: slice = _POSTED) -> np.ndarray:
     return best.astype(np.uint32).view(np.int32)
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Joins by shuffling. Spark takes exploded lists and well compressed ids for many times
+    smaller than they are; a broadcast decided on that fills the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """Per row: key, doc_id, n_shingles, node (a 128-bit digest of the set) and signature; both null for an empty set."""
 
@@ -136,22 +143,22 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     left = classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("fine").alias("sa"))
     right = classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").filter(_sizes_fit("na", "nb")).filter(same >= FINE_MATCHES).select("a", "b")
+    return _join(_join(pairs, left, "a"), right, "b").filter(_sizes_fit("na", "nb")).filter(same >= FINE_MATCHES).select("a", "b")
 
 
 class _Confirm:
     """Confirms pairs on full sets; each class's set is made once, from one document of the class."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame):
-        wanted = members.select("v").distinct().join(classes.select("v", "key"), "v")
-        self.sets = stored(_sets(docs.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("v", "text")), "near-sets")
+        wanted = _join(members.select("v").distinct(), classes.select("v", "key"), "v")
+        self.sets = stored(_sets(_join(docs.select("key", "text"), wanted, "key").dropDuplicates(["key"]).select("v", "text")), "near-sets")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         left = self.sets.select(F.col("v").alias("a"), F.col("found").alias("fa"))
         right = self.sets.select(F.col("v").alias("b"), F.col("found").alias("fb"))
         both = F.size(F.array_intersect("fa", "fb"))
         every = F.size("fa") + F.size("fb") - both
-        return pairs.join(left, "a").join(right, "b").select("a", "b", (both * 100 >= every * SIMILAR).alias("linked"))
+        return _join(_join(pairs, left, "a"), right, "b").select("a", "b", (both * 100 >= every * SIMILAR).alias("linked"))
 
 
 def components(links: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -164,20 +171,21 @@ def components(links: DataFrame, labels: DataFrame | None, nodes: DataFrame) ->
     """
     if labels is None:
         labels = nodes.select("v", F.col("v").alias("component"))
-    ends = links.join(labels.select(F.col("v").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
+    ends = _join(links, labels.select(F.col("v").alias("a"), F.col("component").alias("x")), "a")
+    ends = _join(ends, labels.select(F.col("v").alias("b"), F.col("component").alias("y")), "b")
     ends = ends.filter("x <> y")
     both = stored(ends.select("x", "y").union(ends.select(F.col("y"), F.col("x"))).distinct(), "near-links")
     own, before = both.select("x").distinct().withColumn("c", F.col("x")), None
     while True:
-        near = both.join(own.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("near"))
-        lower = own.join(near, "x").select("x", F.col("c").alias("old"), F.least("c", "near").alias("c"))
-        step = stored(lower.join(lower.select(F.col("x").alias("c"), F.col("c").alias("next")), "c").select("x", "old", F.col("next").alias("c")), "near-step")
+        near = _join(both, own.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("near"))
+        lower = _join(own, near, "x").select("x", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        step = stored(_join(lower, lower.select(F.col("x").alias("c"), F.col("c").alias("next")), "c").select("x", "old", F.col("next").alias("c")), "near-step")
         if before is not None:
             release(before)
         own, before = step.select("x", "c"), step
         if step.filter("c <> old").isEmpty():
             break
-    renamed = labels.join(own.select(F.col("x").alias("component"), "c"), "component", "left")
+    renamed = _join(labels, own.select(F.col("x").alias("component"), "c"), "component", "left")
     named = stored(renamed.select("v", F.coalesce("c", "component").alias("component")), "near-labels")
     release(both, step)
     return named
@@ -192,7 +200,7 @@ def _block_links(long: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFr
     rows = long.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"), "v", "component")
-    rows = rows.join(classes.select("v", "n", "signature", "mask"), "v").join(sets.select("v", "found"), "v")
+    rows = _join(_join(rows, classes.select("v", "n", "signature", "mask"), "v"), sets.select("v", "found"), "v")
 
     def run(table: pa.Table) -> pa.Table:
         v, n, second, component, mask = (table.column(c).to_numpy() for c in ("v", "n", "second", "component", "mask"))
@@ -243,7 +251,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     value = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)
     tokens = classes.select("v", F.posexplode("signature").alias("pos", "value")).select("v", value.alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    live = tokens.join(shared, "token")
+    live = _join(tokens, shared, "token")
     by_class = Window.partitionBy("v")
     live = live.withColumn("own", F.count(F.lit(1)).over(by_class)).filter(F.col("own") >= MATCHES)
     live = live.withColumn("rank", F.row_number().over(by_class.orderBy("m", "token")))
@@ -251,7 +259,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = stored(postings.select("v").distinct(), "near-members")
     confirm = _Confirm(docs, classes, members)
     masks = postings.groupBy("v").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
-    posted = classes.select("v", "n", "signature").join(masks, "v").join(confirm.sets.select("v", "fine"), "v")
+    posted = _join(_join(classes.select("v", "n", "signature"), masks, "v"), confirm.sets.select("v", "fine"), "v")
     posted = stored(posted, "near-posted")
     #: Tables that only the search for links reads.
     made = [postings, members, confirm.sets, posted]
@@ -260,14 +268,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for turn in range(HUB_TURNS):
         if labels is None:
             hubs = lists.groupBy("token").agg(F.min("v").alias("a"))
-            pairs = lists.join(hubs, "token").filter("a <> v").select("a", F.col("v").alias("b"))
+            pairs = _join(lists, hubs, "token").filter("a <> v").select("a", F.col("v").alias("b"))
         else:
             # A member outside the list's first component, the same one for all lists where possible.
             other = F.when(F.col("component") != F.col("least"), F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "component"))
             hubs = lists.groupBy("token").agg(F.min(other).alias("hub")).select("token", F.col("hub.v").alias("a"), F.col("hub.component").alias("of_a"))
-            pairs = lists.join(hubs, "token").filter("component <> of_a").select("a", F.col("v").alias("b"))
+            pairs = _join(lists, hubs, "token").filter("component <> of_a").select("a", F.col("v").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs if seen is None else _join(pairs, seen.select("a", "b"), ["a", "b"], "left_anti")
         tried = stored(confirm(_alike(pairs, posted)), "near-hub-pairs")
         made.append(tried)
         seen = tried if seen is None else seen.union(tried)
@@ -277,28 +285,29 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             last = True
         else:
             labels, last = components(links, labels, members), turn == HUB_TURNS - 1
-        marked = postings.join(labels, "v")
+        marked = _join(postings, labels, "v")
         ends = marked.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-        lists = stored(marked.join(ends.select("token", "m", "least"), "token"), "near-open")
+        lists = stored(_join(marked, ends.select("token", "m", "least"), "token"), "near-open")
         made.append(lists)
         if last or lists.isEmpty():
             break
 
     short = lists.filter(F.col("m") <= SHORT).select("token", "v", "component")
     other = short.select("token", F.col("v").alias("b"), F.col("component").alias("of_b"))
-    found = short.join(other, "token").filter("v < b and component <> of_b").select(F.col("v").alias("a"), "b").distinct()
-    found = _alike(found.join(seen.select("a", "b"), ["a", "b"], "left_anti"), posted)
+    found = _join(short, other, "token").filter("v < b and component <> of_b").select(F.col("v").alias("a"), "b").distinct()
+    found = _alike(_join(found, seen.select("a", "b"), ["a", "b"], "left_anti"), posted)
     more = confirm(found).filter("linked").select("a", "b").union(_block_links(lists.filter(F.col("m") > SHORT), posted, confirm.sets))
     more = stored(more, "near-rest-links")
     if not more.isEmpty():
         labels = components(more, labels, members)
     release(*made, more)
 
-    named = labels.join(classes.select("v", "low"), "v")
+    named = _join(labels, classes.select("v", "low"), "v")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = classes.select("v", "node", "low").join(labels, "v", "left").join(lowest, "component", "left")
+    of_class = _join(_join(classes.select("v", "node", "low"), labels, "v", "left"), lowest, "component", "left")
     of_class = of_class.select("node", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("component", "v").alias("component"))
-    full = rows.select("key", "doc_id", "n_shingles", "node").filter("node is not null").join(of_class, "node").drop("node")
+    full = rows.select("key", "doc_id", "n_shingles", "node").filter("node is not null")
+    full = _join(full, of_class, "node").drop("node")
     empty = rows.filter("node is null").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.unionByName(empty)
 

@@ -134,6 +134,18 @@ def test_minhash(docs, none, texts):
     assert kept == [i for i in range(len(texts)) if top(i) == i]
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Any table that is broadcast fails its query."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_near_duplicates_fill_no_driver(docs, no_broadcast):
+    assert len(minhash.near_duplicates(docs).collect()) == docs.count()
+
+
 def test_suffixes(docs, none, texts):
     data = [(t or "").encode() for t in texts]
     seen = {}
