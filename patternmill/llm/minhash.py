@@ -333,4 +333,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     name = unused(docs, "__key")
     keyed = docs.withColumn(name, row_key(id_col, text_col))
     # Rows with one id and one text have one key; the first of them stays.
-    return keyed.join(keys.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name]).drop(name)
+    return _join(keyed, keys.withColumnRenamed("key", name), name, "left_semi").dropDuplicates([name]).drop(name)

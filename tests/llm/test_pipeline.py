@@ -123,3 +123,14 @@ def test_run_is_what_plain_stages_give(spark, tmp_path):
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = sorted((r["doc_id"], r["n_tokens"], list(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert got == [(i, len(ids), ids) for i, ids in ((i, plain.encode_ordinary(t)) for i, t in hidden)]
+
+
+def test_near_duplicates_fill_no_driver(spark, sf_dir):
+    """The stage ends though any table that is broadcast fails its query."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert 0 < kept < docs.count()
