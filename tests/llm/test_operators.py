@@ -286,6 +286,18 @@ def test_warc_headers(spark):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_warc_is_packed_with_little_effort(spark, tmp_path):
+    rng = random.Random(5)
+    words = [prose(rng, 1) for _ in range(300)]
+    block = " ".join(rng.choices(words, k=100_000))
+    record = f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {len(block)}\r\n\r\n{block}"
+    warc.write_warc(spark.createDataFrame([(record,)], "record string"), str(tmp_path / "warc"))
+    (archive,) = (tmp_path / "warc").rglob("*.gz")
+    data = archive.read_bytes()
+    assert [b.decode() for _, b in warc.records_of(data)] == [block]
+    assert len(data) > 1.02 * len(zlib.compress(f"{record}\r\n\r\n".encode(), 6))
+
+
 def plain_spans(text):
     out = []
     for order, (kind, pattern) in enumerate(PATTERNS.items()):
